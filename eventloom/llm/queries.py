@@ -24,8 +24,68 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    dealt = shard_by_bytes(_read(spark, sf_dir, "documents"), shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .fertility import fertility
+
+    measured = fertility(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measures = ["n_tokens", "chars_per_token", "byte_share", "entropy", "script"]
+    return measured.select("doc_id", *counts, failed.alias("base_failed"), (~failed & F.col("fertile")).alias("kept"), *measures)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import decontaminate
+
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import ngram_components
+
+    return ngram_components(_read(spark, sf_dir, "documents"), words=3, threshold="0.9").select("doc_id", "n_shingles", "component_id", "links")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, secret_digest
+
+    return secret_digest(find_secrets(_read(spark, sf_dir, "documents")))
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source")
+
+
+def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import HostRule, filter_urls
+
+    rules = [HostRule("block", "com", "/en/"), HostRule("allow", "example.com", "/en/7"), HostRule("allow", "net", "/de/"), HostRule("block", "example.net", "/de/8"), HostRule("block", "org", "/es/")]
+    return filter_urls(_read(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_counts": op10_token_counts}
+    return {
+        "op1_shard": op1_shard,
+        "op2_fertility": op2_fertility,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_jaccard_join": op4_jaccard_join,
+        "op5_secrets": op5_secrets,
+        "op6_mix": op6_mix,
+        "op9_filter_urls": op9_filter_urls,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
