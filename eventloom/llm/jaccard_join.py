@@ -262,7 +262,7 @@ def similar_sets(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t: F
 def ngram_components(docs: DataFrame, words: int = 5, threshold: str = "0.8", text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Near copies among all rows: the id, ``n_shingles``, ``links`` and ``component_id``.
 
-    Two rows link when the Jaccard similarity of their sets of word n-grams is at least
+    Also ``row_key``, a hash of id and text. Two rows link when the Jaccard similarity of their sets of word n-grams is at least
     ``threshold`` (a decimal string, compared exactly in whole numbers). ``links`` counts
     the different sets that link with the row's own; equal sets are one class. ``component_id`` is the
     least id that links reach.
@@ -292,5 +292,5 @@ def ngram_components(docs: DataFrame, words: int = 5, threshold: str = "0.8", te
     of_set = parts.join(least, "component").select(F.col("node").alias("sid"), "component_id")
     links = linked.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     found = by_set.join(of_set, "sid", "left").join(links, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    own = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
-    return own.select(F.col("doc_id").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(found, "sid", "left")
+    return own.select(F.col("doc_id").alias(row_id), F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

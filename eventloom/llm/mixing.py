@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import row_key
 from .scratch import write_out
 
 #: Rows of one source that a flight takes at once, and how many of them it may leave undecided for the landing.
@@ -66,7 +67,7 @@ def landing(chances: list[float], sizes: Sequence[float]) -> list[float]:
 
 def _fly(last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "size", "tie"], kind="stable")
+        frame = frame.sort_values(["order", "size", "row_key"], kind="stable")
         sizes = frame["size"].tolist()
         chances = flight(frame["chance"].tolist(), sizes, f"{frame['order'].iloc[0]} {len(frame)} {last}")
         return frame.assign(chance=landing(chances, sizes) if last else chances)
@@ -104,7 +105,7 @@ def word_count(text: Column) -> Column:
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
     """How often a mixture takes each row of ``docs``, so that every source nears its target of words.
 
-    Returns a row for each row of ``docs``: the id, ``tie`` (a hash of the text), ``source``, ``size`` (words),
+    Returns a row for each row of ``docs``: the id, ``row_key`` (a hash of id and text), ``source``, ``size`` (words),
     ``source_size``, ``target`` and ``times`` (0 to ceil(most)). A source's rate is
     target / source_size: its whole part is taken of every row, the rest is each row's
     chance in a balanced sample, which keeps the totals of words and of rows.
@@ -123,8 +124,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
             F.col(row_id).alias("id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.col(text)).alias("tie"),
-        ).withColumn("order", F.xxhash64(F.col("id"), F.col("tie"), F.lit(6))),
+            row_key(text, row_id).alias("row_key"),
+        ).withColumn("order", F.xxhash64("row_key", F.lit(6))),
         "mix-rows",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -140,4 +141,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     left = (F.col("chance") > 0) & (F.col("chance") < 1)
     landed = flown.filter(left).groupBy("source").applyInPandas(_fly(True), flown.schema)
     done = flown.filter(~left).unionByName(landed)
-    return done.select(F.col("id").alias(row_id), "tie", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("int")).alias("times"))
+    return done.select(F.col("id").alias(row_id), "row_key", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("int")).alias("times"))

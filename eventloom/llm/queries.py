@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN_LIMIT = 2048
+TOXIC = 0.7
+GOOD = 0.5
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import decontaminate
 
-    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,23 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score_toxicity, train_toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import score_quality, train_quality
+    from .toxicity import held_out
+
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels"), held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= GOOD).alias("kept"))
+
+
 def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import HostRule, filter_urls
 
@@ -83,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_secrets": op5_secrets,
         "op6_mix": op6_mix,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality": op8_quality,
         "op9_filter_urls": op9_filter_urls,
         "op10_token_counts": op10_token_counts,
     }

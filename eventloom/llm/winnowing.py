@@ -99,7 +99,7 @@ def _spans(docs: DataFrame, items: DataFrame, span: int, whole: bool) -> DataFra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Find every run of ``span`` words that a row of ``docs`` shares with a benchmark item.
 
-    Returns for each row of ``docs``: the id, ``n_words``, ``n_hit`` (words inside shared windows),
+    Returns for each row of ``docs``: the id, ``row_key`` (a hash of id and text), ``n_words``, ``n_hit`` (words inside shared windows),
     ``n_items``, ``items_sha256`` (of the items' ids as sorted strings, comma-joined) and ``contaminated``.
 
     Both sides keep the least k-gram hash of every sliding window of k-grams, where
@@ -117,8 +117,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
     items = write_out(benchmark.select(F.col(item_id).cast("string").alias("item_id"), benchmark_words(F.col(text)).alias("words")).filter(F.size("words") > 0), "winnow-benchmark")
     lengths = [r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect()]  # fewer than span
     body = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(body).alias("key"), benchmark_words(F.col(text)).alias("words"))
-    rows = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(body).alias("key"), F.size(benchmark_words(F.col(text))).cast("long").alias("n_words"))
+    cut = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(F.col(row_id), body).alias("key"), benchmark_words(F.col(text)).alias("words"))
+    rows = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(F.col(row_id), body).alias("key"), F.size(benchmark_words(F.col(text))).cast("long").alias("n_words"))
 
     hits = _spans(cut, items, span, False)
     for n in sorted(lengths):
@@ -131,6 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, text: s
     zero = F.lit(0).cast("long")
     return out.select(
         F.col("doc_id").alias(row_id),
+        F.col("key").alias("row_key"),
         "n_words",
         F.coalesce("n_hit", zero).alias("n_hit"),
         F.coalesce("n_items", zero).alias("n_items"),
