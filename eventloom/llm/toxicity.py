@@ -20,8 +20,10 @@ ORDER, DECAY = 3, 0.6
 #: Letters of a candidate string that one kernel value sees; a longer string is seen in overlapping windows.
 SPAN = 20
 #: Labelled rows that training reads at most, picked by a hash of their id.
-TRAINING_ROWS = 3000
-POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, ROUNDS = 24, 6, 3
+TRAINING_ROWS = 6000
+#: Of these, texts labelled 1 and texts labelled 0 whose sentences the machine learns from; all of them count for the landmarks.
+TOXIC_TEXTS, OTHER_TEXTS = 600, 1500
+POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, ROUNDS = 80, 6, 3
 #: Candidate strings whose scores a Python worker keeps; beyond it they are scored anew.
 CACHE_SIZE = 1 << 20
 #: Digits and signs that stand in for letters.
@@ -52,17 +54,23 @@ def subsequence_kernel(left: list[str], right: list[str], order: int = ORDER, de
     letters weaken a match and don't end it. All pairs advance together, by a letter of the left.
     """
     s, t = _codes(left), _codes(right)
-    width = t.shape[1]
-    later = np.arange(width + 1)[None, :] - 1 - np.arange(width)[:, None]
-    spread = np.where(later >= 0, decay ** np.maximum(later, 0), 0).astype(np.float32) * np.float32(decay**2)
-    prefix = [np.ones((len(left), len(right), width + 1), np.float32)] + [np.zeros((len(left), len(right), width + 1), np.float32) for _ in range(order - 1)]
-    total = np.zeros((len(left), len(right)), np.float32)
+    width, shape = t.shape[1], (len(left), len(right))
+    one, gap = np.float32(decay**2), np.float32(decay)
+    # prefix[i][j]: weight of the common subsequences of i letters in the left so far and the right's first j letters
+    prefix = [np.ones((width + 1, *shape), np.float32)] + [np.zeros((width + 1, *shape), np.float32) for _ in range(order - 1)]
+    total = np.zeros(shape, np.float32)
     for at in range(s.shape[1]):
-        x = s[:, at]
-        same = ((x[:, None, None] == t[None]) & (x != 0)[:, None, None]).astype(np.float32)
-        total += np.float32(decay**2) * (same * prefix[order - 1][:, :, :width]).sum(2)
+        x = s[:, at : at + 1]
+        same = [((x == t[:, j]) & (x != 0)) * one for j in range(width)]
+        for j in range(width):
+            total += same[j] * prefix[order - 1][j]
         for i in range(order - 1, 0, -1):
-            prefix[i] = np.float32(decay) * prefix[i] + (same * prefix[i - 1][:, :, :width]) @ spread
+            run = np.zeros(shape, np.float32)
+            for j in range(width):
+                run *= gap
+                run += same[j] * prefix[i - 1][j]
+                prefix[i][j + 1] *= gap
+                prefix[i][j + 1] += run
     return total
 
 
@@ -105,16 +113,19 @@ class Model(NamedTuple):
 def _diagonal(texts: list[str]) -> np.ndarray:
     """Kernel of each string with itself, all of one length."""
     s = _codes(texts)
+    one, gap = np.float32(DECAY**2), np.float32(DECAY)
     n, width = s.shape
-    later = np.arange(width + 1)[None, :] - 1 - np.arange(width)[:, None]
-    spread = np.where(later >= 0, DECAY ** np.maximum(later, 0), 0).astype(np.float32) * np.float32(DECAY**2)
-    prefix = [np.ones((n, width + 1), np.float32)] + [np.zeros((n, width + 1), np.float32) for _ in range(ORDER - 1)]
+    prefix = [np.ones((width + 1, n), np.float32)] + [np.zeros((width + 1, n), np.float32) for _ in range(ORDER - 1)]
     total = np.zeros(n, np.float32)
     for at in range(width):
-        same = (s[:, at : at + 1] == s).astype(np.float32)
-        total += np.float32(DECAY**2) * (same * prefix[ORDER - 1][:, :width]).sum(1)
+        same = [(s[:, at] == s[:, j]) * one for j in range(width)]
+        for j in range(width):
+            total += same[j] * prefix[ORDER - 1][j]
         for i in range(ORDER - 1, 0, -1):
-            prefix[i] = np.float32(DECAY) * prefix[i] + (same * prefix[i - 1][:, :width]) @ spread
+            run = np.zeros(n, np.float32)
+            for j in range(width):
+                run = run * gap + same[j] * prefix[i - 1][j]
+                prefix[i][j + 1] = prefix[i][j + 1] * gap + run
     return total
 
 
@@ -165,15 +176,15 @@ def _pick_landmarks(positive: Counter, negative: Counter, n1: int, n0: int) -> l
     """Strings that tell toxic from other texts, unlike each other, and the most frequent strings of the others."""
     gain = {}
     for s, k in positive.items():
-        if k >= 3:
+        if k >= 4:
             a, b = (k + 0.5) / (n1 + 1), (negative[s] + 0.5) / (n0 + 1)
-            if a > 4 * b:
+            if a > 8 * b and k * np.log(a / b) > 10:
                 gain[s] = k * np.log(a / b)
     chosen: list[str] = []
     norms: dict[str, float] = {}
     for s in sorted(gain, key=lambda s: (-gain[s], s))[:400]:
         norms[s] = float(_self_kernel([s])[0])
-        if chosen and max(subsequence_kernel([s], chosen)[0] / np.sqrt(norms[s] * np.array([norms[c] for c in chosen]))) > 0.6:
+        if chosen and max(subsequence_kernel([s], chosen)[0] / np.sqrt(norms[s] * np.array([norms[c] for c in chosen]))) > 0.9:
             continue
         chosen.append(s)
         if len(chosen) == POSITIVE_LANDMARKS:
@@ -205,6 +216,13 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
+    shown = {1: TOXIC_TEXTS, 0: OTHER_TEXTS}
+    chosen = []
+    for sentences, y in texts:
+        if shown[y] > 0:
+            shown[y] -= 1
+            chosen.append((sentences, y))
+    texts = chosen
     strings = sorted({s for sentences, _ in texts for x in sentences for s in x})
     place = {s: i for i, s in enumerate(strings)}
     model = Model(uuid.uuid4().hex, landmarks, norms, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
