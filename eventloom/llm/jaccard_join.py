@@ -2,17 +2,16 @@
 
 A text's set holds 64-bit hashes of its word n-grams, its tokens. With Jaccard similarity
 of at least t, a set of n tokens lacks at most m = n - ceil(t * n) of them in its partner, and
-both together differ in at most d = floor((1 - t) / t * n) tokens. All sets are ordered alike:
-rare tokens by hash, then frequent tokens by hash.
+both together differ in at most d = floor((1 - t) / t * n) tokens. Tokens are ordered by hash.
 
-* A pair that shares a rare token shares one among the first m + 1 rare tokens of both
-  (prefix filter). Those are indexed one by one.
-* A pair that shares frequent tokens only lacks all its rare ones, so each side has at most m
-  of those. Such sets extend the prefix to a + d + 2 frequent tokens, a of which the partner
-  may lack: at least one pair of neighbouring frequent tokens then stays whole in both. These
-  combinations of two are indexed, so a token that a third of all texts share is never a key.
+* Sets with more than m rare tokens among their first ones index each of these: a similar set
+  has one of them (prefix filter).
+* Other sets extend the prefix by d and more tokens. They index its rare tokens one by one, and its frequent ones in
+  combinations: if the partner has none of the r rare ones, it lacks at most m - r of the f frequent
+  ones and has at most d - r others there in all, so of the f - 1 pairs of neighbouring frequent tokens
+  at least one stays whole in both. A token that a third of all texts share is never a key.
 
-A token is frequent if more than FREQUENT sets hold it in their first tokens by hash.
+A token is frequent if more than FREQUENT sets hold it among their first tokens.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -31,11 +30,11 @@ from .scratch import write_out
 from .texts import Chunk, chunks, mix
 
 #: Sets that hold a token in their prefix, above which it is frequent and only indexed in combinations.
-FREQUENT = 12
+FREQUENT = 8
 #: Bits of the map that tells which rows a later scan needs.
 KEY_BITS = 1 << 23
 #: Sets of one family that a task verifies against as many others, and tokens in them.
-BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 20
+BLOCK_SETS, BLOCK_TOKENS = 384, 1 << 20
 
 
 def limits(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -115,28 +114,13 @@ def first_tokens(n: np.ndarray, t: Fraction) -> np.ndarray:
     return np.minimum(n, m + 1 + m // 4 + 4)
 
 
-def _combinations(t: Fraction):
-    """Of sets with too few rare first tokens: all rare ones up to m + 1, and pairs of neighbouring frequent tokens."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("token", kind="stable")
-        n = int(frame["n"].iloc[0])
-        m, d = (int(x[0]) for x in limits(np.array([n]), t))
-        rare = frame["token"].to_numpy()[~frame["frequent"].to_numpy()]
-        frequent = frame["token"].to_numpy()[frame["frequent"].to_numpy()]
-        keys = rare[: m + 1]
-        if len(rare) <= m:
-            a = m - len(rare)
-            length = max(2, a + max(0, d - len(rare)) + 2)
-            own = frequent[:length].view(np.uint64)
-            if len(frequent) < length:
-                pairs = own.view(np.int64)  # a set too small for combinations: its tokens one by one
-            else:
-                pairs = mix(mix(own[:-1]) + own[1:] * np.uint64(3)).view(np.int64)
-            keys = np.concatenate((keys, pairs))
-        return pd.DataFrame({"sid": frame["sid"].iloc[0], "n": n, "key": keys})
-
-    return run
+def extended_prefix(t: Fraction) -> Column:
+    """Tokens by hash that a set with too few rare ones indexes: beyond the first tokens of any similar set, and more than m + d + 1."""
+    p, q = t.numerator, t.denominator
+    n = F.col("n")
+    partner = F.floor(n * q / p) + 1  # the largest similar set's size, rounded up
+    m = partner - F.floor(partner * p / q)
+    return F.least(n, m + F.floor(m / 4) + 6 + F.floor(n * (q - p) / p) + 2).cast("int")
 
 
 def _links(t: Fraction):
@@ -211,10 +195,12 @@ def candidate_edges(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t
 
     # rare first tokens of all sets, and more keys of those that have too few
     single = known.filter("not frequent").select("sid", "n", F.col("token").alias("key"))
-    rest = whole(lacking).select("sid", "n", F.explode("tokens").alias("token"))
-    marked = rest.join(shared.filter("frequent"), "token", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
-    more = marked.groupBy("sid").applyInPandas(_combinations(t), "sid long, n long, key long")
-    index = write_out(single.union(more).distinct(), "join-index")
+    rest = whole(lacking).select("sid", "n", F.explode(F.slice("tokens", F.lit(1), extended_prefix(t))).alias("token"))
+    marked = rest.join(shared, "token", "left")
+    rare = marked.filter("not coalesce(frequent, false)").select("sid", "n", F.col("token").alias("key"))
+    before = F.lag("token").over(Window.partitionBy("sid").orderBy("token"))
+    pairs = marked.filter("frequent").withColumn("before", before).filter("before is not null").select("sid", "n", F.xxhash64("before", "token").alias("key"))
+    index = write_out(single.union(rare).union(pairs).distinct(), "join-index")
 
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("sid").alias("least")).filter("held > 1")
     known = index.join(sizes, "key")
@@ -246,16 +232,16 @@ def similar_sets(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t: F
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
     starts = counts.withColumn("start", F.coalesce(F.sum(F.col("count") / room).over(before), F.lit(0.0))).withColumn("room", room).drop("count")
     inside = Window.partitionBy("family", "n").orderBy("sid")
-    ranked = own.select("family", "n", "sid").withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["family", "n"])
-    ranked = write_out(ranked.select("family", "n", "sid", F.floor(F.col("start") + F.col("rank") / F.col("room")).alias("block")), "join-blocks")
+    ranked = own.select("family", "n", "sid", "key").withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["family", "n"])
+    ranked = write_out(ranked.select("family", "sid", "key", "n", F.floor(F.col("start") + F.col("rank") / F.col("room")).alias("block")), "join-blocks")
     spans = ranked.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("held"))
     p, q = t.numerator, t.denominator
     x = spans.select("family", F.col("block").alias("i"), F.col("high").alias("hi"), F.col("held").alias("ni"))
     y = spans.select("family", F.col("block").alias("j"), F.col("low").alias("lo"), F.col("held").alias("nj"))
     meet = x.join(y, "family").filter((F.col("i") <= F.col("j")) & (F.col("lo") * p <= F.col("hi") * q) & ((F.col("i") != F.col("j")) | (F.col("ni") > 1)))
     sides = meet.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
-    members = ranked.select("family", F.col("block").alias("own"), "sid").join(sides, ["family", "own"])
-    shipped = members.join(whole(own.select("sid", "key")), "sid")
+    members = ranked.select("family", F.col("block").alias("own"), "sid", "key").join(sides, ["family", "own"])
+    shipped = members.join(whole(own.select("sid", "key")), ["sid", "key"]).drop("key")
     return write_out(shipped.groupBy("family", "i", "j").applyInPandas(_links(t), "a long, b long, links long"), "join-links")
 
 
@@ -279,12 +265,12 @@ def ngram_components(docs: DataFrame, words: int = 5, threshold: str = "0.8", te
     filled = rows.filter("n > 0")
     first_of = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("key"))).alias("f")
     by_set = write_out(filled.groupBy("sid").agg(first_of, F.first("n").alias("n")).select("sid", "n", F.col("f.doc_id").alias("least"), F.col("f.key").alias("key")), "join-classes")
-    first = write_out(filled.join(by_set.select("sid", "key"), ["sid", "key"]).groupBy("sid").agg(*[F.first(c).alias(c) for c in ("key", "n", "tokens")]), "join-sets")
+    first = write_out(filled.join(by_set.select("sid", "key"), ["sid", "key"]).groupBy("sid", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "join-sets")
 
     def whole(some: DataFrame) -> DataFrame:
         """All tokens of the sets of ``some`` (sid, key), each once: only rows whose key is in a bit map leave the scan."""
         again = shingle_sets(docs, words, t, text, row_id, bit_map(some))
-        return again.join(some, ["sid", "key"]).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        return again.join(some, ["sid", "key"]).groupBy("sid", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
     linked = similar_sets(first, whole, t)
     parts = write_out(connected_components(linked.select("a", "b")), "join-components")
