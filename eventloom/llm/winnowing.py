@@ -30,23 +30,31 @@ def gram_sizes(span: int) -> tuple[int, int]:
     return k, span - k + 1
 
 
+#: A mark is a whole number: the 32-bit hash of a k-gram, then this less the k-gram's position.
+LAST = (1 << 31) - 1
+
+
 def k_grams(words: Column, span: int) -> Column:
-    """Array of structs (hash, back) of every k-gram, back being minus its position from 1; null for texts shorter than ``span``."""
+    """Array of the marks of every k-gram, in order; null for texts shorter than ``span``."""
     k, _ = gram_sizes(span)
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.struct(F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)]).alias("hash"), (-i).alias("back")))
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.shiftleft(F.hash(*[F.get(words, i + j) for j in range(k)]).cast("long"), 32) + (F.lit(LAST) - i))
     return F.when(F.size(words) >= span, each)
 
 
-def winnowed(grams: Column, span: int) -> Column:
-    """The least k-gram of every window of k-grams, rightmost if tied, each once.
+def winnowed(marks: Column, span: int) -> Column:
+    """The least mark of every window of k-grams, each once: the least hash, rightmost if tied.
 
     The choice depends on a window's words alone, so two texts that share ``span``
     consecutive words choose the same k-gram there.
     """
     _, window = gram_sizes(span)
     if window == 1:
-        return grams
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - window), lambda i: F.least(*[F.get(grams, i + j) for j in range(window)])))
+        return marks
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(marks) - window), lambda i: F.least(*[F.get(marks, i + j) for j in range(window)])))
+
+
+def _hash_of(mark: Column) -> Column:
+    return F.shiftright(mark, 32).cast("int")
 
 
 def _context(words: Column, at: Column, before: int, length: int) -> Column:
@@ -57,13 +65,13 @@ def _context(words: Column, at: Column, before: int, length: int) -> Column:
 def _marks(rows: DataFrame, span: int, keys: list[str], wanted: list[int] | None = None) -> DataFrame:
     """One row for each fingerprint (in ``wanted``, if given) of each row of (keys, words): keys, hash, at, around (the words near it)."""
     k, _ = gram_sizes(span)
-    picked = rows.withColumn("grams", k_grams(F.col("words"), span)).withColumn("picked", winnowed(F.col("grams"), span))
+    picked = rows.withColumn("marks", k_grams(F.col("words"), span)).withColumn("picked", winnowed(F.col("marks"), span))
     if wanted is not None:
-        picked = picked.withColumn("picked", F.filter("picked", lambda p: p.hash.isin(wanted)))
+        picked = picked.withColumn("picked", F.filter("picked", lambda p: _hash_of(p).isin(wanted)))
     # with explode, Spark would filter on the array's size first and compute the array anew for that
     seen = picked.select(*keys, "words", F.explode_outer("picked").alias("p")).filter("p is not null")
-    at = -F.col("p.back") - 1
-    return seen.select(*keys, F.col("p.hash").alias("hash"), at.alias("at"), _context(F.col("words"), at, span - k, 2 * span - k).alias("around"))
+    at = F.lit(LAST) - F.col("p").bitwiseAND(F.lit(LAST)).cast("int")
+    return seen.select(*keys, _hash_of(F.col("p")).alias("hash"), at.alias("at"), _context(F.col("words"), at, span - k, 2 * span - k).alias("around"))
 
 
 def _extended(span: int, mine: str, other: str) -> tuple[Column, Column]:
