@@ -24,24 +24,27 @@ class Band(NamedTuple):
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: tuple[float, float]
+    letters_per_token: float = 0.0
     least_tokens: int = 40
 
 
-#: By script: characters per token, share of byte-fallback tokens, bits of token entropy.
+#: By script: characters per token, share of byte-fallback tokens, bits of token entropy, letters per token.
 #: A vocabulary of 32,000 pieces gives ordinary prose of a Latin script two to five characters a token;
-#: below 1.3 are symbol runs and encodings, above 8 are pieces repeated like rulers. Scripts that
+#: below 1.3 are symbol runs and encodings, above 8 are pieces repeated like rulers. Words that end in signs cost
+#: tokens without letters, so fewer than 1.4 letters a token are marked-up or damaged text. Scripts that
 #: the vocabulary lacks fall back to bytes by design, so their bands are wide.
 BANDS: Mapping[str, Band] = {
-    "latin": Band((1.3, 8.0), 0.10, (3.0, 14.0)),
-    "cyrillic": Band((1.0, 8.0), 0.15, (3.0, 14.0)),
-    "greek": Band((0.6, 8.0), 0.60, (2.5, 14.0)),
-    "cjk": Band((0.3, 4.0), 0.90, (2.5, 14.0)),
+    "latin": Band((1.3, 8.0), 0.10, (3.0, 14.0), 1.4),
+    "cyrillic": Band((1.0, 8.0), 0.15, (3.0, 14.0), 0.9),
+    "greek": Band((0.6, 8.0), 0.60, (2.5, 14.0), 0.4),
+    "cjk": Band((0.3, 4.0), 0.90, (2.5, 14.0), 0.2),
     "other": Band((0.2, 8.0), 1.00, (2.0, 14.0)),
 }
 SCRIPTS = list(BANDS)
 
-#: Share of words that carry marks ordinary prose lacks: symbols of the set above, or all in capitals with a doubled mark.
-MOST_SYMBOL_WORDS = 0.30
+#: Bytes that begin a letter: of ASCII, and of what UTF-8 begins so but punctuation, arrows and boxes (0xC2, 0xE2).
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE2), *range(0xE3, 0xEF)]] = True
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +164,7 @@ def _measure(chunk: Chunk, path: str) -> dict[str, np.ndarray]:
     chars = np.concatenate(([0], np.cumsum(is_char)))
     symbols = np.concatenate(([0], np.cumsum(SYMBOLS[chunk.data])))
     word_chars = np.bincount(chunk.row, chars[chunk.ends] - chars[chunk.starts], minlength=n).astype(np.int64)
-    marked = np.bincount(chunk.row, symbols[chunk.ends] > symbols[chunk.starts], minlength=n)
+    letters = np.concatenate(([0], np.cumsum(LETTERS[chunk.data])))
     n_tokens, ids = _tokens.setdefault(path, _Tokens()).of(chunk, own, model)
     token_row = np.repeat(chunk.row, n_tokens)
     tokens = np.bincount(token_row, minlength=n)
@@ -176,7 +179,7 @@ def _measure(chunk: Chunk, path: str) -> dict[str, np.ndarray]:
         "chars_per_token": word_chars / per,
         "byte_share": np.bincount(token_row, is_byte[ids], minlength=n) / per,
         "entropy": _entropy(token_row, ids, n),
-        "marked_share": marked / np.maximum(chunk.n_words, 1),
+        "letters_per_token": (letters[chunk.bounds[1:]] - letters[chunk.bounds[:-1]]) / per,
         "script": _script(chunk),
     }
 
@@ -187,11 +190,12 @@ def _within(m: dict[str, np.ndarray], bands: Mapping[str, Band]) -> np.ndarray:
     fine = (m["chars_per_token"] >= pick(lambda b: b.chars_per_token[0])) & (m["chars_per_token"] <= pick(lambda b: b.chars_per_token[1]))
     fine &= m["byte_share"] <= pick(lambda b: b.byte_share)
     fine &= (m["entropy"] >= pick(lambda b: b.entropy[0])) & (m["entropy"] <= pick(lambda b: b.entropy[1]))
+    fine &= m["letters_per_token"] >= pick(lambda b: b.letters_per_token)
     return fine | (m["n_tokens"] < pick(lambda b: b.least_tokens))
 
 
 _LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens"]
-_DOUBLES = ["chars_per_token", "byte_share", "entropy", "marked_share"]
+_DOUBLES = ["chars_per_token", "byte_share", "entropy", "letters_per_token"]
 
 
 def fertility(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -199,7 +203,7 @@ def fertility(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BAND
 
     Returns the id, counts (words, characters in words, symbols, repeated lines, words in
     repeated 8-word windows, tokens), characters per token, share of byte-fallback tokens,
-    bits of token entropy, share of words with symbols, the script, and ``fertile``: whether
+    bits of token entropy, letters per token, the script, and ``fertile``: whether
     all measures lie in the band. A word's tokens are those of the word alone, as pieces of
     such a vocabulary don't cross white space.
 
