@@ -68,10 +68,14 @@ def _marks(rows: DataFrame, span: int, keys: list[str], wanted: list[int] | None
     picked = rows.withColumn("marks", k_grams(F.col("words"), span)).withColumn("picked", winnowed(F.col("marks"), span))
     if wanted is not None:
         picked = picked.withColumn("picked", F.filter("picked", lambda p: _hash_of(p).isin(wanted)))
+
+    def located(mark: Column) -> Column:
+        at = F.lit(LAST) - mark.bitwiseAND(F.lit(LAST)).cast("int")
+        return F.struct(_hash_of(mark).alias("hash"), at.alias("at"), _context(F.col("words"), at, span - k, 2 * span - k).alias("around"))
+
     # with explode, Spark would filter on the array's size first and compute the array anew for that
-    seen = picked.select(*keys, "words", F.explode_outer("picked").alias("p")).filter("p is not null")
-    at = F.lit(LAST) - F.col("p").bitwiseAND(F.lit(LAST)).cast("int")
-    return seen.select(*keys, _hash_of(F.col("p")).alias("hash"), at.alias("at"), _context(F.col("words"), at, span - k, 2 * span - k).alias("around"))
+    seen = picked.select(*keys, F.explode_outer(F.transform("picked", located)).alias("p")).filter("p is not null")
+    return seen.select(*keys, "p.hash", "p.at", "p.around")
 
 
 def _extended(span: int, mine: str, other: str) -> tuple[Column, Column]:
