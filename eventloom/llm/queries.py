@@ -109,5 +109,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM bw) ks, unnest(range(1, len(w) - k + 2)) t(i)),
+hit AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + k)) u(p) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) x GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
+_OP4 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS digest FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y, ny.digest AS dy, nx.digest AS dx FROM both_ JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+near AS (SELECT x, count(DISTINCT dy) AS links FROM links WHERE dx <> dy GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) AS component_id, coalesce(near.links, 0) AS links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id LEFT JOIN near ON near.x = d.doc_id"""
+
+
+def _op9() -> str:
+    from .url_rules import PATTERNS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(p.action)}, {quoted(p.regex)})" for p in PATTERNS)
+    host, path = r"regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1)", r"regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1)"
+    rules = "('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')"
+    return f"""WITH p AS (SELECT row_number() OVER () AS r, page_id, lower(coalesce(url, '')) AS low, lower({host}) AS host, {path} AS path FROM pages),
+rules(action, h, t) AS (VALUES {rules}), patterns(action, regex) AS (VALUES {values}),
+fits AS (SELECT r, h || t AS rule, rules.action, row_number() OVER (PARTITION BY r ORDER BY length(h) + length(t) DESC) AS k FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t)),
+met AS (SELECT r, count(*) AS patterns, bool_or(patterns.action = 'block') AS blocks, bool_or(patterns.action = 'allow') AS allows FROM p JOIN patterns ON regexp_matches(low, regex) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(fits.action, CASE WHEN blocks AND NOT allows THEN 'block' ELSE 'allow' END) AS verdict, coalesce(patterns, 0) AS patterns
+FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) fits USING (r) LEFT JOIN met USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": _OP3, "op4_jaccard_join": _OP4, "op9_filter_urls": _op9()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import queries as Q
 
+from ..compare import duck, spark_rows
 from . import brute
 
 SF = "/root/testdata/sf0.001"
@@ -168,12 +169,17 @@ def _labels(spark, sf):
     return {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    assert spark_rows(Q.queries()[name](spark, SF)) == duck(SF, Q.oracle_sql()[name])
+
+
 def test_toxicity_on_held_out_rows(spark):
     from eventloom.llm.toxicity import score_toxicity, subsequence_kernel, train
 
     assert subsequence_kernel(["cat"], ["car"], 2, 0.5)[0, 0] == pytest.approx(0.5**4)
-    labels = _labels(spark, "/root/testdata/sf0.01")
-    got = [r for r in Q.op7_toxicity(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
+    labels = _labels(spark, "/root/testdata/sf0.1")  # the smaller tables have 35 toxic texts to learn four languages from
+    got = [r for r in Q.op7_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id].toxic for r in got) >= 0.95 * len(got)
     rows = [("the idiot said so. fine day", 1)] * 20 + [("a fine day it was. so they said", 0)] * 80 + [("calm words here", 0)] * 40
     model = train(rows)
