@@ -20,7 +20,7 @@ ORDER, DECAY = 3, 0.6
 #: Letters of a candidate string that one kernel value sees; a longer string is seen in overlapping windows.
 SPAN = 20
 #: Labelled rows that training reads at most, picked by a hash of their id.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 5000
 #: Of these, texts labelled 1 and texts labelled 0 whose sentences the machine learns from; all of them count for the landmarks.
 TOXIC_TEXTS, OTHER_TEXTS = 600, 1500
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, ROUNDS = 80, 6, 3
@@ -159,15 +159,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w
 
 
-def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the margins (Platt, 1999), by Newton steps."""
+def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through the weighted margins (Platt, 1999), by Newton steps."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (p - target)) + 1e-3 * (w - [1.0, 0.0]))
         w -= np.clip(step, -2, 2)
     return float(w[0]), float(w[1])
 
@@ -201,39 +201,40 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
     is toxic and not which. A sentence is seen as its highest candidate string. The machine
     is linear on the Nystroem map K(string, landmarks) K(landmarks, landmarks) ** -1/2.
     """
-    texts = [([c for x in re.split(r"[.!?\n]+", text or "") if (c := sorted(set(candidate_strings(x))))], int(label)) for text, label in rows]
-    n1, n0 = sum(y for _, y in texts), sum(1 - y for _, y in texts)
+    rows = [(text or "", int(label)) for text, label in rows]
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     if not n1 or not n0:
         return None
-    positive, negative = Counter(), Counter()
-    for sentences, y in texts:
-        (positive if y else negative).update({s for x in sentences for s in x})
+    # only strings of toxic texts can tell, so only they are counted in the others
+    positive = Counter(s for text, y in rows if y for s in set(candidate_strings(text)))
+    negative = Counter(s for text, y in rows if not y for s in set(candidate_strings(text)) if s in positive)
     landmarks = _pick_landmarks(positive, negative, n1, n0)
+    del positive, negative
     if len(landmarks) <= NEGATIVE_LANDMARKS:
         return None
+    place: dict[str, int] = {}
+    room = {1: TOXIC_TEXTS, 0: OTHER_TEXTS}
+    labels, where = [], []  # of each text that teaches: its label, and of each sentence the places of its strings
+    for text, y in rows:
+        if room[y] > 0:
+            room[y] -= 1
+            own = [c for x in re.split(r"[.!?\n]+", text) if (c := sorted(set(candidate_strings(x))))]
+            labels.append(y)
+            where.append([np.array([place.setdefault(s, len(place)) for s in x], np.int32) for x in own])
+    strings = list(place)
+    del place
     norms = _self_kernel(landmarks)
     gram = subsequence_kernel(landmarks, landmarks) / np.sqrt(norms[:, None] * norms[None])
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
-    shown = {1: TOXIC_TEXTS, 0: OTHER_TEXTS}
-    chosen = []
-    for sentences, y in texts:
-        if shown[y] > 0:
-            shown[y] -= 1
-            chosen.append((sentences, y))
-    texts = chosen
-    strings = sorted({s for sentences, _ in texts for x in sentences for s in x})
-    place = {s: i for i, s in enumerate(strings)}
     model = Model(uuid.uuid4().hex, landmarks, norms, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
     features = model.features(strings)
-    mapped = features @ root
-    where = [[np.array([place[s] for s in x]) for x in sentences] for sentences, _ in texts]
     margin = features[:, : len(landmarks) - NEGATIVE_LANDMARKS].max(1).astype(np.float64)
     for _ in range(ROUNDS):
         top = [[x[margin[x].argmax()] for x in sentences] for sentences in where]
         rows_, signs = [], []
-        for own, (_, y) in zip(top, texts):
+        for own, y in zip(top, labels):
             if y and own:
                 rows_.append(max(own, key=lambda i: margin[i]))
                 signs.append(1)
@@ -245,11 +246,13 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
         key = at * 2 + (y > 0)
         _, first, count = np.unique(key, return_index=True, return_counts=True)
         at, y, weight = at[first], y[first], np.sqrt(count)
-        w = _svm(mapped[at].astype(np.float64), y, weight * np.where(y > 0, 1.0, 0.3))
-        margin = mapped @ w[:-1] + w[-1]
+        w = _svm(features[at] @ root, y, weight * np.where(y > 0, 1.0, 0.3))
+        margin = features @ (root @ w[:-1]).astype(np.float32) + w[-1]
     least = float(w[-1])
     best = np.array([max([least, *(margin[x].max() for x in sentences)]) for sentences in where])
-    slope, offset = _platt(best, np.array([y for _, y in texts], float))
+    y = np.array(labels, float)
+    # the texts that teach hold more toxic ones than all do; the curve is weighted back
+    slope, offset = _platt(best, y, np.where(y == 1, n1 / y.sum(), n0 / (1 - y).sum()))
     return model._replace(weights=(root @ w[:-1]).astype(np.float32), bias=least, slope=slope, offset=offset)
 
 
