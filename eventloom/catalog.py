@@ -229,6 +229,14 @@ def prob_join_confidence(spark, sf_dir):
     return match(rows, pattern).select(_id("a"), _id("b"), F.round(F.col("a.value") * F.col("b.value") / 10000, 6).alias("prob"))
 
 
+@query("""WITH f AS (SELECT a.event_id, product(1 - n.value / 100) AS doubt FROM events a JOIN events n ON n.user_id = a.user_id AND n.event_type = 'error' AND n.value <= 100 AND n.ts >= a.ts AND n.ts <= a.ts + INTERVAL 24 HOUR WHERE a.event_type = 'signup' GROUP BY a.event_id)
+SELECT a.event_id AS a_id, round(a.value / 100 * coalesce(doubt, 1), 6) AS prob FROM events a LEFT JOIN f USING (event_id) WHERE a.event_type = 'signup' AND a.value <= 100 AND a.value / 100 * coalesce(doubt, 1) >= 0.2""")
+def prob_negation(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter("value <= 100").withColumn("probability", F.col("value") / 100)
+    pattern = Pattern(Seq(_e("signup", "a"), Not(_e("error", "n"))), Window(DAY), None, USER, confidence=0.2)
+    return match(rows, pattern).select(_id("a"), F.round("prob", 6).alias("prob"))
+
+
 # repetition: chains as WITH RECURSIVE
 
 
@@ -370,6 +378,11 @@ def consume_partition(spark, sf_dir):
     return selection.consume(_runs(spark, sf_dir), ["user_id"]).select(_ids().alias("ids"))
 
 
+@query()
+def match_single(spark, sf_dir):
+    return selection.single_use(_runs(spark, sf_dir), ["user_id"]).select(_ids().alias("ids"))
+
+
 # several patterns, statistics, routing
 
 

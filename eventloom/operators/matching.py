@@ -123,9 +123,19 @@ class _Lowering:
             on = on & ~F.arrays_overlap("ids", "r_ids")
             if p.condition:
                 on = on & p.condition(lambda a, c: F.col(f"`{a}`.`{c}`"))
-            rows = self.meet(rows, bad, on, "left_anti", True)
+            if self.pattern.confidence is not None and "probability" in self.columns:
+                rows = self.doubted(rows, bad, on)
+            else:
+                rows = self.meet(rows, bad, on, "left_anti", True)
         return rows
 
+    def doubted(self, rows: DataFrame, bad: DataFrame, on: Column) -> DataFrame:
+        """Uncertain forbidden parts don't drop a match; each makes it less likely by its own probability. A certain one leaves 0."""
+        keys = [*self.keys, "ids"]
+        doubt = self.meet(rows, bad, on, "inner", True).groupBy(*keys).agg(F.product(1 - F.coalesce("r_prob", F.lit(1.0))).alias("doubt"))
+        left = rows.join(doubt, keys, "left")
+        return left.withColumn("prob", F.when(F.col("doubt").isNull(), F.col("prob")).otherwise(F.coalesce("prob", F.lit(1.0)) * F.col("doubt"))).drop("doubt")
+
     def _time(self, alias: str, side: str) -> Column:
         repeated = alias in self.repeated
         own = F.col(f"`{alias}`.`us`")

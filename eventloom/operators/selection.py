@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +72,27 @@ def consume(matches: DataFrame, partition: list[str], doublings: int = 40) -> Da
     chain = reached.select(*partition, F.col("of").alias("hi_pos"), cleared.alias("cleared"))
     kept = matches.join(chain, [*partition, "hi_pos"]).filter(F.col("cleared").isNull() | (F.col("lo_pos") > F.col("cleared")))
     return kept.select(*matches.columns)
+
+
+def single_use(matches: DataFrame, partition: list[str]) -> DataFrame:
+    """Matches such that no event is in two of them: in order of completion, each is kept if its events are still unused.
+
+    The order matters, so matches are folded one after the other; but only those whose spans overlap can
+    compete. A partition falls into runs of overlapping spans, and each run is folded by itself.
+    """
+    before = Window.partitionBy(*partition).orderBy("lo_pos", "hi_pos", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*partition).orderBy("lo_pos", "hi_pos", "ids").rowsBetween(Window.unboundedPreceding, 0)
+    runs = matches.withColumn("_reach", F.max("hi_pos").over(before)).withColumn("_run", F.sum((F.col("_reach").isNull() | (F.col("lo_pos") > F.col("_reach"))).cast("int")).over(upto)).drop("_reach")
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(_ids=frame["ids"].map(tuple)).sort_values(["hi_pos", "_ids"], kind="stable")
+        used: set[int] = set()
+        kept = []
+        for ids in frame["_ids"]:
+            free = used.isdisjoint(ids)
+            kept.append(free)
+            if free:
+                used.update(ids)
+        return frame[kept].drop(columns=["_ids", "_run"])
+
+    return runs.groupBy(*partition, "_run").applyInPandas(fold, matches.schema)
