@@ -156,14 +156,17 @@ class _Lowering:
         each = self.build(part.part)
         item = F.col(own[0]) if len(own) == 1 else F.struct(*own)
         one = each.withColumn("item", item).drop(*own)
-        rows = one.withColumn(part.alias, F.array("item")).drop("item")
+        rows = one.withColumn(part.alias, F.array("item")).withColumn("tail", F.col("ids")).drop("item")
         most = part.most or self.pattern.settings.get("most_repeats", 8)
         found = [rows] if part.least <= 1 else []
         for n in range(2, most + 1):
-            on = (F.col("hi_pos") < F.col("r_hi_pos")) & self.within()
+            # parts come in the order of their last events; ties, which share that event, by their positions
+            later = (F.col("hi_pos") < F.col("r_hi_pos")) | ((F.col("hi_pos") == F.col("r_hi_pos")) & (F.col("tail") < F.col("r_ids")))
+            on = later & self.within()
             if self.pattern.order == "position":
                 on = (F.col("hi_pos") < F.col("r_lo_pos")) & self.within()
-            rows = self.merged(self.meet(rows, one, on, "inner", True)).withColumn(part.alias, F.array_append(part.alias, F.col("item"))).drop("item")
+            met = self.meet(rows, one, on, "inner", True).withColumn("tail", F.col("r_ids"))
+            rows = self.merged(met).withColumn(part.alias, F.array_append(part.alias, F.col("item"))).drop("item")
             if n >= part.least:
                 found.append(rows)
         if part.most is None:
@@ -171,7 +174,7 @@ class _Lowering:
             longer = self.meet(rows, one, (F.col("hi_pos") < F.col("r_lo_pos")) & self.within(), "inner", True)
             if not self.pattern.settings.get("cut") and not longer.isEmpty():
                 raise ValueError(f"a repetition is longer than most_repeats={most}; raise it in the pattern's settings")
-        return reduce(DataFrame.unionByName, found)
+        return reduce(DataFrame.unionByName, found).drop("tail")
 
     def build(self, part: Part) -> DataFrame:
         if isinstance(part, Event):
