@@ -172,8 +172,8 @@ def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[f
     return float(w[0]), float(w[1])
 
 
-def _pick_landmarks(positive: Counter, negative: Counter, n1: int, n0: int) -> list[str]:
-    """Strings that tell toxic from other texts, unlike each other, and the most frequent strings of the others."""
+def _pick_landmarks(positive: Counter, negative: Counter, n1: int, n0: int) -> tuple[list[str], list[str]]:
+    """Strings that tell toxic from other texts, unlike each other; and the others' most frequent ones of those both hold."""
     gain = {}
     for s, k in positive.items():
         if k >= 4:
@@ -190,7 +190,7 @@ def _pick_landmarks(positive: Counter, negative: Counter, n1: int, n0: int) -> l
         if len(chosen) == POSITIVE_LANDMARKS:
             break
     common = [s for s, _ in sorted(negative.items(), key=lambda x: (-x[1], x[0])) if s not in gain][:NEGATIVE_LANDMARKS]
-    return [*chosen, *common]
+    return chosen, common
 
 
 def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
@@ -208,10 +208,11 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
     # only strings of toxic texts can tell, so only they are counted in the others
     positive = Counter(s for text, y in rows if y for s in set(candidate_strings(text)))
     negative = Counter(s for text, y in rows if not y for s in set(candidate_strings(text)) if s in positive)
-    landmarks = _pick_landmarks(positive, negative, n1, n0)
+    telling, common = _pick_landmarks(positive, negative, n1, n0)
     del positive, negative
-    if len(landmarks) <= NEGATIVE_LANDMARKS:
+    if not telling:
         return None
+    landmarks = [*telling, *common]
     place: dict[str, int] = {}
     room = {1: TOXIC_TEXTS, 0: OTHER_TEXTS}
     labels, where = [], []  # of each text that teaches: its label, and of each sentence the places of its strings
@@ -230,7 +231,7 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
 
     model = Model(uuid.uuid4().hex, landmarks, norms, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
     features = model.features(strings)
-    margin = features[:, : len(landmarks) - NEGATIVE_LANDMARKS].max(1).astype(np.float64)
+    margin = features[:, : len(telling)].max(1).astype(np.float64)
     for _ in range(ROUNDS):
         top = [[x[margin[x].argmax()] for x in sentences] for sentences in where]
         rows_, signs = [], []
