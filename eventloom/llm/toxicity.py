@@ -7,6 +7,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -44,7 +45,7 @@ def pieces(word: str) -> list[str]:
 
 def _codes(strings: list[str]) -> np.ndarray:
     width = max(map(len, strings), default=0)
-    return np.array([[ord(c) for c in s] + [0] * (width - len(s)) for s in strings], np.int32).reshape(len(strings), width)
+    return np.array(strings, f"U{max(width, 1)}").view(np.int32).reshape(len(strings), -1)[:, :width]
 
 
 def subsequence_kernel(left: list[str], right: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -92,24 +93,61 @@ class Model(NamedTuple):
     def features(self, strings: list[str]) -> np.ndarray:
         """Normalised kernel values against the landmarks; 0 for strings of fewer than ORDER letters."""
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        by_length: dict[int, list[int]] = {}
-        for i, s in enumerate(strings):
-            if len(s) >= ORDER:
-                by_length.setdefault(len(s), []).append(i)
-        for own in by_length.values():
+        for own in _by_length(strings).values():
             for at in range(0, len(own), 512):
                 part = own[at : at + 512]
                 texts = [strings[i] for i in part]
                 out[part] = subsequence_kernel(texts, self.landmarks) / np.sqrt(_diagonal(texts)[:, None] * self.norms[None])
         return out
 
-    def margins(self, strings: list[str]) -> np.ndarray:
-        return self.features(strings) @ self.weights + self.bias
+    def collapsed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over landmarks as one weight for each subsequence of ORDER letters, and the place of each code point.
+
+        The kernel is an inner product over subsequences, so all landmarks add up to one vector over
+        them; a string then costs its own subsequences, however many landmarks there are. Place 0
+        stands for letters that no landmark holds.
+        """
+        held = sorted({ord(c) for s in self.landmarks for c in s})
+        place = np.zeros(max(held) + 1, np.int32)
+        place[held] = np.arange(1, len(held) + 1)
+        table = np.zeros((len(held) + 1,) * ORDER)
+        for s, norm, weight in zip(self.landmarks, self.norms, self.weights):
+            for at in combinations(range(len(s)), ORDER):
+                table[tuple(place[ord(s[i])] for i in at)] += weight / np.sqrt(norm) * DECAY ** (at[-1] - at[0] + 1)
+        return table.ravel().astype(np.float32), place
+
+    def margins(self, strings: list[str], table: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Weighted kernel values and bias; the bias alone for strings of fewer than ORDER letters."""
+        out = np.full(len(strings), self.bias)
+        size = round(len(table) ** (1 / ORDER))
+        for width, own in _by_length(strings).items():
+            at = np.array(list(combinations(range(width), ORDER)))
+            decay = np.float32(DECAY) ** (at[:, -1] - at[:, 0] + 1).astype(np.float32)
+            step = max(1, (1 << 19) // len(at))
+            for begin in range(0, len(own), step):
+                part = own[begin : begin + step]
+                texts = [strings[i] for i in part]
+                codes = _codes(texts)
+                codes = np.where(codes < len(place), place[np.minimum(codes, len(place) - 1)], 0)
+                which = codes[:, at[:, 0]]
+                for i in range(1, ORDER):
+                    which = which * size + codes[:, at[:, i]]
+                out[part] += (table[which] @ decay) / np.sqrt(_diagonal(texts))
+        return out
 
     def chance(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
+def _by_length(strings: list[str]) -> dict[int, list[int]]:
+    """Places of the strings of each length from ORDER."""
+    found: dict[int, list[int]] = {}
+    for i, s in enumerate(strings):
+        if len(s) >= ORDER:
+            found.setdefault(len(s), []).append(i)
+    return found
+
+
 def _diagonal(texts: list[str]) -> np.ndarray:
     """Kernel of each string with itself, all of one length."""
     s = _codes(texts)
@@ -184,7 +222,7 @@ def _pick_landmarks(positive: Counter, negative: Counter, n1: int, n0: int) -> t
     norms: dict[str, float] = {}
     for s in sorted(gain, key=lambda s: (-gain[s], s))[:400]:
         norms[s] = float(_self_kernel([s])[0])
-        if chosen and max(subsequence_kernel([s], chosen)[0] / np.sqrt(norms[s] * np.array([norms[c] for c in chosen]))) > 0.9:
+        if chosen and max(subsequence_kernel([s], chosen)[0] / np.sqrt(norms[s] * np.array([norms[c] for c in chosen]))) > 0.8:
             continue
         chosen.append(s)
         if len(chosen) == POSITIVE_LANDMARKS:
@@ -260,7 +298,7 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
 _seen: dict[str, dict[int, float]] = {}
 
 
-def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float]) -> np.ndarray:
+def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float], collapsed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The highest margin of each row's candidate strings, the bias at least."""
     chunk.words()
     best = np.full(chunk.n_rows, model.bias)
@@ -271,7 +309,7 @@ def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float]) -> np.nda
     if len(new := np.flatnonzero(np.isnan(margins))):
         own = [pieces(chunk.text(chunk.starts[at[i]], chunk.ends[at[i]])) for i in new]
         flat = sorted({p for x in own for p in x if len(p) >= ORDER})
-        value = dict(zip(flat, model.margins(flat).tolist()))
+        value = dict(zip(flat, model.margins(flat, *collapsed).tolist()))
         margins[new] = [max(value.get(p, model.bias) for p in x) for x in own]
         if len(seen) + len(new) > CACHE_SIZE:
             seen.clear()
@@ -286,7 +324,7 @@ def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float]) -> np.nda
             if len(inside) >= ORDER:
                 own = [p for p in pieces("".join(chunk.text(chunk.starts[i], chunk.ends[i]) for i in inside)) if len(p) >= ORDER]
                 if own:
-                    best[row] = max(best[row], float(model.margins(own).max()))
+                    best[row] = max(best[row], float(model.margins(own, *collapsed).max()))
     return best
 
 
@@ -304,9 +342,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.name not in _seen:
             _seen.clear()
-        seen = _seen.setdefault(model.name, {})
+        seen, collapsed = _seen.setdefault(model.name, {}), model.collapsed()
         for batch in batches:
-            margins = [_chunk_margins(c, model, seen) for c in chunks(batch.column(keep.index(text)))]
+            margins = [_chunk_margins(c, model, seen, collapsed) for c in chunks(batch.column(keep.index(text)))]
             scores = model.chance(np.concatenate(margins) if margins else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
 
