@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from .rows import row_key
 from .scratch import write_out
 
-#: Rows of one source that a flight takes at once, and how many of them it may leave undecided for the landing.
-BLOCK_ROWS, LANDING_ROWS = 20_000, 12
+#: Rows of one source that a flight takes at once, and how many of them it may leave undecided for the next one or the landing.
+BLOCK_ROWS, LANDING_ROWS = 4_000, 12
 #: Sources up to this number are sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 _DECIDED = 1e-9
@@ -110,9 +111,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     target / source_size: its whole part is taken of every row, the rest is each row's
     chance in a balanced sample, which keeps the totals of words and of rows.
 
-    The flight runs on blocks of about 20,000 rows of one source, each of which leaves 12
-    rows undecided at most; these meet by source in a second flight, and the landing decides
-    the last 12 by trying all choices. So a source of any size spreads over tasks, and its total is off by less
+    The flight runs on blocks of about 4,000 rows of one source, each of which leaves 12
+    rows undecided at most. These form blocks anew and fly again, until no source has more than one block;
+    then the landing decides its last 12 by trying all choices. So a source of any size spreads over tasks, and its total is off by less
     than one of its rows. A hot source only has more blocks.
 
     Null sources are one source. Null and empty texts have size 0 and any outcome of theirs takes no
@@ -136,9 +137,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     rated = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = rated.withColumn("whole", F.floor(rate + F.lit(_DECIDED)).cast("int")).withColumn("chance", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-    rated = rated.withColumn("block", F.pmod(F.col("order"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long")).drop("n")
-    flown = write_out(rated.groupBy("source", "block").applyInPandas(_fly(False), rated.schema), "mix-flown")
     left = (F.col("chance") > 0) & (F.col("chance") < 1)
-    landed = flown.filter(left).groupBy("source").applyInPandas(_fly(True), flown.schema)
-    done = flown.filter(~left).unionByName(landed)
+    largest, decided = sizes.agg(F.max("n")).first()[0] or 0, []
+    while largest > BLOCK_ROWS:  # each round leaves at most LANDING_ROWS of a block: two rounds for a billion rows
+        dealt = rated.withColumn("block", F.pmod(F.xxhash64("order", F.lit(len(decided))), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long"))
+        flown = write_out(dealt.groupBy("source", "block").applyInPandas(_fly(False), dealt.schema).drop("block"), "mix-flown")
+        decided.append(flown.filter(~left).drop("n"))
+        open_ = flown.filter(left).drop("n")
+        counts = write_out(open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-open")
+        largest = counts.agg(F.max("n")).first()[0] or 0
+        again = F.broadcast(counts) if counts.count() <= BROADCAST_SOURCES else counts
+        rated = open_.join(again.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    last = rated.drop("n")
+    done = reduce(DataFrame.unionByName, decided, last.groupBy("source").applyInPandas(_fly(True), last.schema))
     return done.select(F.col("id").alias(row_id), "row_key", "source", "size", "source_size", "target", (F.col("whole") + F.round("chance").cast("int")).alias("times"))
