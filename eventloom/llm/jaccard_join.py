@@ -34,7 +34,7 @@ FREQUENT = 8
 #: Bits of the map that tells which rows a later scan needs.
 KEY_BITS = 1 << 23
 #: Sets of one family that a task verifies against as many others, and tokens in them.
-BLOCK_SETS, BLOCK_TOKENS = 384, 1 << 20
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 21
 
 
 def limits(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def _links(t: Fraction):
     return run
 
 
-def candidate_edges(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t: Fraction) -> DataFrame:
+def candidate_edges(first: DataFrame, whole: Callable[..., DataFrame], t: Fraction) -> DataFrame:
     """Edges (a, b) that join any two different sets which may be similar, directly or through others.
 
     ``first``: (sid, key, n, tokens), each set once, with its first tokens; ``whole`` gives all
@@ -195,7 +195,7 @@ def candidate_edges(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t
 
     # rare first tokens of all sets, and more keys of those that have too few
     single = known.filter("not frequent").select("sid", "n", F.col("token").alias("key"))
-    rest = whole(lacking).select("sid", "n", F.explode(F.slice("tokens", F.lit(1), extended_prefix(t))).alias("token"))
+    rest = whole(lacking, extended_prefix(t)).select("sid", "n", F.explode("tokens").alias("token"))
     marked = rest.join(shared, "token", "left")
     rare = marked.filter("not coalesce(frequent, false)").select("sid", "n", F.col("token").alias("key"))
     before = F.lag("token").over(Window.partitionBy("sid").orderBy("token"))
@@ -203,7 +203,7 @@ def candidate_edges(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t
     index = write_out(single.union(rare).union(pairs).distinct(), "join-index")
 
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("sid").alias("least")).filter("held > 1")
-    known = index.join(sizes, "key")
+    known = write_out(index.join(sizes, "key"), "join-known")
     stars = known.filter(F.col("held") > FREQUENT).select(F.col("sid").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
     few = known.filter(F.col("held") <= FREQUENT)
     held = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "sid"))).alias("held"))  # FREQUENT members at most
@@ -216,7 +216,7 @@ def candidate_edges(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t
     return kept.select("a", "b").union(stars)
 
 
-def similar_sets(first: DataFrame, whole: Callable[[DataFrame], DataFrame], t: Fraction) -> DataFrame:
+def similar_sets(first: DataFrame, whole: Callable[..., DataFrame], t: Fraction) -> DataFrame:
     """(a, b, links): of every pair of blocks a spanning forest of its links, and rows (a, a, links) that add up to each set's number of links.
 
     Candidates form families; a family's sets, ordered by size, are cut into blocks, and a
@@ -267,9 +267,11 @@ def ngram_components(docs: DataFrame, words: int = 5, threshold: str = "0.8", te
     by_set = write_out(filled.groupBy("sid").agg(first_of, F.first("n").alias("n")).select("sid", "n", F.col("f.doc_id").alias("least"), F.col("f.key").alias("key")), "join-classes")
     first = write_out(filled.join(by_set.select("sid", "key"), ["sid", "key"]).groupBy("sid", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "join-sets")
 
-    def whole(some: DataFrame) -> DataFrame:
-        """All tokens of the sets of ``some`` (sid, key), each once: only rows whose key is in a bit map leave the scan."""
+    def whole(some: DataFrame, most: Column | None = None) -> DataFrame:
+        """All tokens (or the first ``most``) of the sets of ``some`` (sid, key), each once: only rows whose key is in a bit map leave the scan."""
         again = shingle_sets(docs, words, t, text, row_id, bit_map(some))
+        if most is not None:
+            again = again.withColumn("tokens", F.slice("tokens", F.lit(1), most))
         return again.join(some, ["sid", "key"]).groupBy("sid", "key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
     linked = similar_sets(first, whole, t)
