@@ -97,6 +97,19 @@ def json_attr(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("SELECT event_id, regexp_replace(event_type || ' / ' || upper(event_type), '[\\s/]', '', 'g') AS zone FROM events")
+def zone_normalise(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", F.regexp_replace(F.concat_ws(" / ", "etype", F.upper("etype")), r"[\s/]", "").alias("zone"))
+
+
+@query("SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS bar, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS sensor FROM events")
+def parse_ts_formats(spark, sf_dir):
+    """Time stamps written in the layouts of bars and of sensors, and parsed again."""
+    again = lambda layout: F.to_timestamp_ntz(F.date_format("ts", layout), F.lit(layout))
+    rows = _events(spark, sf_dir).select("event_id", again("yyyyMMddHHmm").alias("bar"), again("MM/dd/yyyy HH:mm:ss").alias("sensor"))
+    return rows.select("event_id", F.date_format("bar", "yyyy-MM-dd HH:mm").alias("bar"), F.date_format("sensor", "yyyy-MM-dd HH:mm:ss").alias("sensor"))
+
+
 # joins
 
 
@@ -282,6 +295,18 @@ def kleene_nested_seq(spark, sf_dir):
     return _find(spark, sf_dir, Repeat(Seq(_e("view", "a"), _e("click", "b")), "k", 2, 2), DAY, order="position").select(_ids().alias("ids"))
 
 
+@query("""WITH RECURSIVE r(user_id, first_us, last_id, ids) AS (
+SELECT user_id, epoch_us(ts), event_id, CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'view'
+UNION ALL SELECT r.user_id, r.first_us, e.event_id, r.ids || ',' || CAST(e.event_id AS VARCHAR) FROM r JOIN events e ON e.user_id = r.user_id
+AND e.event_type = 'click' AND e.event_id > r.last_id AND epoch_us(e.ts) - r.first_us <= 86400000000)
+SELECT r.ids || ',' || CAST(c.event_id AS VARCHAR) AS ids FROM r JOIN events c ON c.user_id = r.user_id AND c.event_type = 'purchase'
+AND c.event_id > r.last_id AND epoch_us(c.ts) - r.first_us <= 86400000000""")
+def srt_star_optional(spark, sf_dir):
+    """A repetition that may be absent: the sequence with it or without it."""
+    a, c = _e("view", "a"), _e("purchase", "c")
+    return _find(spark, sf_dir, Or(Seq(a, c), Seq(a, Repeat(_e("click", "k"), "k"), c)), DAY, order="position", most_repeats=12).select(_ids().alias("ids"))
+
+
 # contiguity and registers
 
 
@@ -378,6 +403,16 @@ def consume_partition(spark, sf_dir):
     return selection.consume(_runs(spark, sf_dir), ["user_id"]).select(_ids().alias("ids"))
 
 
+@query("""WITH f AS (SELECT user_id, min(event_id) AS s FROM events GROUP BY user_id)
+SELECT a.event_id AS a_id, b.event_id AS b_id, c.event_id AS c_id FROM f JOIN events a ON a.event_id = f.s JOIN events b ON b.user_id = a.user_id JOIN events c ON c.user_id = a.user_id
+WHERE a.event_type = 'view' AND b.event_type = 'click' AND c.event_type = 'purchase' AND b.event_id > a.event_id AND c.event_id > b.event_id""")
+def unwindowed_partition(spark, sf_dir):
+    """Without a window a match can only begin at the first event of its partition."""
+    rows = _events(spark, sf_dir).withColumn("first_pos", F.min("pos").over(W.partitionBy("user_id")))
+    structure = Seq(Event("view", "a", lambda c: c("pos") == c("first_pos")), _e("click", "b"), _e("purchase", "c"))
+    return match(rows, Pattern(structure, Window(1 << 52, "events"), None, USER, "position")).select(_id("a"), _id("b"), _id("c"))
+
+
 @query()
 def match_single(spark, sf_dir):
     return selection.single_use(_runs(spark, sf_dir), ["user_id"]).select(_ids().alias("ids"))
