@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.operators import routing, selection, statistics
-from eventloom.operators.matching import match, stream, strict_sequence
+from eventloom.operators.matching import match, stream
 from eventloom.plans.pattern import DAY, HOUR, And, Event, Not, Or, Pattern, Repeat, Seq, Window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,17 +313,17 @@ def srt_star_optional(spark, sf_dir):
 @query("""WITH w AS (SELECT *, lead(event_id, 1) OVER u AS p2, lead(event_type, 1) OVER u AS t2, lead(event_id, 2) OVER u AS p3, lead(event_type, 2) OVER u AS t3 FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, event_id AS pos1, p2 AS pos2, p3 AS pos3 FROM w WHERE event_type = 'view' AND t2 = 'click' AND t3 = 'purchase'""")
 def srt_strict3(spark, sf_dir):
-    return strict_sequence(_events(spark, sf_dir), [F.col("etype") == t for t in ("view", "click", "purchase")], ["user_id"])
+    structure = Seq(_e("view", "a"), _e("click", "b"), _e("purchase", "c"), gap="strict")
+    found = _find(spark, sf_dir, structure, 1 << 52, order="position")
+    return found.select(F.col("key0").alias("user_id"), *(F.col(f"{a}.pos").alias(f"pos{i}") for i, a in enumerate("abc", 1)))
 
 
 @query("""SELECT a.event_id AS a_id, min(b.event_id) AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id
 WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY a.event_id HAVING min(epoch_us(b.ts)) - min(epoch_us(a.ts)) < 172800000000""")
 def srt_next2(spark, sf_dir):
     """The first purchase after each view, if within two days: one pass over each user's events."""
-    after = W.partitionBy("user_id").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    nxt = F.first(F.when(F.col("etype") == "purchase", F.struct("pos", "us")), ignorenulls=True).over(after)
-    rows = _events(spark, sf_dir).withColumn("b", nxt).filter((F.col("etype") == "view") & (F.col("b.us") - F.col("us") < 2 * DAY))
-    return rows.select(F.col("pos").alias("a_id"), F.col("b.pos").alias("b_id"))
+    structure = Seq(_e("view", "a"), _e("purchase", "b"), gap="next")
+    return _find(spark, sf_dir, structure, 2 * DAY, "a", "b", order="position", inclusive=False)
 
 
 @query(_TRIPLE.format(cols=_ABC, x="view", y="view", z="view", on="b.event_id > a.event_id AND c.event_id > b.event_id AND b.value > a.value AND c.value > b.value AND epoch_us(c.ts) - epoch_us(a.ts) < 86400000000"))

@@ -39,6 +39,17 @@ class _Lowering:
 
     # leaves
 
+    def fitting(self, part: Event | Or) -> Column:
+        """Whether an event is one of the part; never null."""
+        if isinstance(part, Or):
+            return reduce(Column.__or__, map(self.fitting, part.parts))
+        fits = F.col("etype").isin([part.types] if isinstance(part.types, str) else list(part.types))
+        if part.stream:
+            fits = fits & (F.col("stream") == part.stream)
+        if part.where:
+            fits = fits & part.where(F.col)
+        return F.coalesce(fits, F.lit(False))
+
     def leaf(self, part: Event) -> DataFrame:
         types = [part.types] if isinstance(part.types, str) else list(part.types)
         rows = self.events.filter(F.col("etype").isin(types) if len(types) > 1 else F.col("etype") == types[0])
@@ -97,12 +108,57 @@ class _Lowering:
 
     def sequence(self, part: Seq) -> DataFrame:
         positive = [p for p in part.parts if not isinstance(p, Not)]
+        if part.gap != "any":
+            return self.absent(self.followed(positive, part.gap), part)
         rows = self.build(positive[0])
         for p in positive[1:]:
             on = self.in_order() & self.within() & ~F.arrays_overlap("ids", "r_ids")
             rows = self.merged(self.meet(rows, self.build(p), on, "inner", False))
         return self.absent(rows, part)
 
+    def followed(self, parts: list[Event | Or], gap: str) -> DataFrame:
+        """Single events, each the very next of its partition (strict) or the first that fits (next); no join.
+
+        The parts are taken from the last one on: each event carries what follows it, seen in one running pass.
+        Where the order is that of the window's metric, a partition is cut into buckets of the window's
+        size, each with the one after it, as no match reaches further. Events whose keys are null are a
+        partition of their own for strict, and in no match for next.
+        """
+        cut = (self.window.metric, self.pattern.order) in (("time", "time"), ("events", "position"))
+        if not cut and not self.keys:
+            raise ValueError(f"gap {gap!r} without a partition takes a window by time in the order of time, or by events in the order of positions")
+        prob = F.col("probability").cast("double") if "probability" in self.columns else F.lit(None).cast("double")
+        rows = self.events.select(
+            *(F.col(a).alias(k) for a, k in zip(self.pattern.partition, self.keys)),
+            F.struct(F.struct(*self.columns).alias("event"), F.col("us").alias("ts"), F.col("pos"), self.metric.alias("m"), prob.alias("prob")).alias("own"),
+            *(self.fitting(p).alias(f"fits{i}") for i, p in enumerate(parts)),
+        )
+        if gap == "next":
+            rows = rows.dropna(subset=self.keys) if self.keys else rows
+        by = list(self.keys)
+        if cut:
+            bucket = F.floor(F.col("own.m") / max(1, self.window.size))
+            rows = rows.withColumn("home", bucket).withColumn("bucket", F.explode(F.array(bucket - 1, bucket)))
+            by.append("bucket")
+        back = [F.col("own.ts").desc(), F.col("own.pos").desc()] if self.pattern.order == "time" else [F.col("own.pos").desc()]
+        later = W.partitionBy(*by).orderBy(*back)
+        chain = F.when(F.col(f"fits{len(parts) - 1}"), F.array("own"))
+        for i in range(len(parts) - 2, -1, -1):
+            rest = F.lag("chain", 1).over(later) if gap == "strict" else F.last("chain", ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, -1))
+            rows = rows.withColumn("chain", chain).withColumn("chain", rest)
+            chain = F.when(F.col(f"fits{i}") & F.col("chain").isNotNull(), F.concat(F.array("own"), F.col("chain")))
+        rows = rows.withColumn("chain", chain).filter(F.col("chain").isNotNull())
+        if cut:
+            rows = rows.filter(F.col("home") == F.col("bucket"))
+        each = [F.col("chain")[i] for i in range(len(parts))]
+        of = lambda name, side: side(F.transform("chain", lambda x: x[name]))
+        rows = rows.select(
+            *self.keys, *(x.event.alias(p.aliases()[0]) for x, p in zip(each, parts)),
+            *(of(name, side).alias(f"{a}_{name}") for name in ("ts", "pos", "m") for a, side in (("lo", F.array_min), ("hi", F.array_max))),
+            F.transform("chain", lambda x: x.pos).alias("ids"), reduce(lambda p, q: F.coalesce(p * q, p, q), [x.prob for x in each]).alias("prob"),
+        )
+        return rows.filter(self.window.fits(F.col("hi_m") - F.col("lo_m")))
+
     def absent(self, rows: DataFrame, part: Seq | And) -> DataFrame:
         """Drop matches that some forbidden part fits, in order and within the window.
 
@@ -208,18 +264,3 @@ def _repeats(part: Part) -> set[str]:
 def match(events: DataFrame, pattern: Pattern) -> DataFrame:
     """All matches of ``pattern`` in ``events`` (from ``stream``), one row each."""
     return _Lowering(events, pattern).run()
-
-
-def strict_sequence(events: DataFrame, guards: list[Column], partition: list[str], window: int | None = None) -> DataFrame:
-    """Runs of neighbouring events of a partition, the i-th of which meets the i-th guard; one pass without a join.
-
-    Returns the partition columns and pos1, pos2, ...; ``window`` bounds the time span, exclusively.
-    """
-    near = W.partitionBy(*partition).orderBy("pos")
-    n = len(guards)
-    marked = events.select(*partition, "pos", "us", *(g.alias(f"g{i}") for i, g in enumerate(guards)))
-    ahead = marked.select(*partition, F.col("pos").alias("pos1"), F.col("us").alias("us1"), F.col("g0").alias("ok0"), *(F.lead(c, i).over(near).alias(f"{t}{i + o}") for i in range(1, n) for c, t, o in (("pos", "pos", 1), ("us", "us", 1), (f"g{i}", "ok", 0))))
-    kept = ahead.filter(reduce(Column.__and__, [F.col(f"ok{i}") for i in range(n)]))
-    if window:
-        kept = kept.filter(F.col(f"us{n}") - F.col("us1") < window)
-    return kept.select(*partition, *(f"pos{i + 1}" for i in range(n)))

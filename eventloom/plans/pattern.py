@@ -48,7 +48,9 @@ class Seq(_Many):
     """Parts one after the other.
 
     gap: ``any`` lets other events lie between, ``next`` takes the first event that fits,
-    ``strict`` the very next event of the partition.
+    ``strict`` the very next event of the partition. An event fits by its types, stream and ``where``; the
+    pattern's condition and window then keep or drop the match. Both follow the pattern's order, equal
+    times by position, and take single events: an Event, or an Or of Events that share an alias.
     """
 
     def __init__(self, *parts: Part, gap: str = "any") -> None:
@@ -58,6 +60,15 @@ class Seq(_Many):
         self.gap = gap
         if not [p for p in parts if not isinstance(p, Not)]:
             raise ValueError("a sequence needs a part that is no Not")
+        if gap != "any":
+            for p in parts:
+                if not isinstance(p, Not) and not _one_event(p):
+                    raise ValueError(f"gap {gap!r} takes single events, not {type(p).__name__}")
+
+
+def _one_event(part: Part) -> bool:
+    either = part.parts if isinstance(part, Or) else [part]
+    return all(isinstance(p, Event) for p in either) and len({p.alias for p in either}) == 1
 
 
 class And(_Many):

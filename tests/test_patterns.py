@@ -56,6 +56,46 @@ def test_sequences_against_loops(spark):
         assert count(spark, Seq(A, B, C), 5, line) == want
 
 
+@pytest.mark.parametrize("order", ["time", "position"])
+@pytest.mark.parametrize("metric", ["time", "events"])
+def test_gaps_against_loops(spark, order, metric):
+    draw = random.Random(3)
+    seen = set()
+    for _ in range(3):
+        rows = [(i, draw.choice("ABC"), t * SECOND, draw.randint(1, 2)) for i, t in enumerate(sorted(draw.randint(0, 30) for _ in range(40)))]
+        live = stream(spark.createDataFrame(rows, "event_id long, event_type string, ts long, user_id long"))
+        size = 6 * SECOND if metric == "time" else 12
+        for gap in ("strict", "next"):
+            pattern = Pattern(Seq(Event("A", "a"), Or(Event("B", "b"), Event("C", "b")), Event("A", "c"), gap=gap), Window(size, metric), None, ("user_id",), order)
+            want = set()
+            for user in (1, 2):
+                own = [r for r in rows if r[3] == user]
+                for i, r in enumerate(own):
+                    found, at = [r], i
+                    for kinds in ("BC", "A"):
+                        ahead = own[at + 1 : at + 2] if gap == "strict" else own[at + 1 :]
+                        fits = [j for j, x in enumerate(ahead, at + 1) if x[1] in kinds]
+                        if not fits:
+                            break
+                        at = fits[0]
+                        found.append(own[at])
+                    column = 2 if metric == "time" else 0
+                    if r[1] == "A" and len(found) == 3 and found[-1][column] - r[column] <= size:
+                        want.add(tuple(x[0] for x in found))
+            assert {tuple(r.ids) for r in match(live, pattern).collect()} == want
+            seen |= want
+    assert seen
+
+
+def test_gap_of_other_parts_is_an_error(spark):
+    for bad in (lambda: Seq(A, Repeat(B, "k"), gap="strict"), lambda: Seq(A, And(B, C), gap="next"), lambda: Seq(A, Or(B, C), gap="next")):
+        with pytest.raises(ValueError):
+            bad()
+    assert count(spark, Seq(A, B, gap="next"), 5, "A0 B1 B2") == 1
+    assert count(spark, Seq(A, Not(Event("N", "n")), B, gap="next"), 5, "A0 N1 B2") == 0
+    assert count(spark, Seq(A, B, gap="strict"), 5, "A0 C1 B2") == 0
+
+
 def test_single_use_and_consumption_against_loops(spark):
     draw = random.Random(2)
     rows = []
