@@ -167,13 +167,18 @@ def _diagonal(texts: list[str]) -> np.ndarray:
     return total
 
 
+def _single(word: str) -> bool:
+    """One code point, not counting combining marks (U+0300 to U+036F)."""
+    return len(word) == 1 or sum(not "\u0300" <= c <= "\u036f" for c in word) == 1
+
+
 def candidate_strings(sentence: str) -> list[str]:
     """Words of a sentence as letters, and runs of single letters as one string."""
     words = sentence.split()
     out = [p for w in words for p in pieces(w)]
     run: list[str] = []
     for w in [*words, "  "]:
-        if len(w) == 1:
+        if _single(w):
             run.append(w)
         else:
             if len(run) >= ORDER:
@@ -298,8 +303,39 @@ def train(rows: Iterable[tuple[str | None, int]]) -> Model | None:
 _seen: dict[str, dict[int, float]] = {}
 
 
+def _spaced(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with spaces for all white space that ``str.split`` knows."""
+    out = np.where((data >= 0x1C) & (data <= 0x1F), np.uint8(0x20), data)
+    a = np.flatnonzero((data >= 0xC2) & (data <= 0xE3))
+    a = a[np.isin(data[a], (0xC2, 0xE1, 0xE2, 0xE3))]
+    b, c = (data[np.minimum(a + i, len(data) - 1)] for i in (1, 2))
+    two = (data[a] == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    code = (data[a].astype(np.int32) & 15) << 12 | (b.astype(np.int32) & 63) << 6 | (c & 63)
+    three = (data[a] > 0xC2) & (np.isin(code, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) | ((code >= 0x2000) & (code <= 0x200A)))
+    for at, width in ((a[two], 2), (a[three], 3)):
+        for i in range(width):
+            out[at + i] = 0x20
+    return out
+
+
+def _letter_runs(chunk: Chunk) -> Iterator[tuple[int, str]]:
+    """Row and letters of each run of ORDER and more words of one code point, spelled out with spaces."""
+    data = chunk.data
+    after = np.append(data[1:], np.uint8(0))
+    # a code point begins at each byte that continues none; combining marks (U+0300 to U+036F) don't count
+    begins = ((data & 0xC0) != 0x80) & (data != 0xCC) & ((data != 0xCD) | (after >= 0xB0))
+    before = np.concatenate(([0], np.cumsum(begins)))
+    single = before[chunk.ends] - before[chunk.starts] == 1
+    # a run ends with its row
+    cut = np.flatnonzero(np.concatenate(([True], (single[1:] != single[:-1]) | (chunk.row[1:] != chunk.row[:-1]), [True])))
+    for start, stop in zip(cut[:-1], cut[1:]):
+        if stop - start >= ORDER and single[start]:
+            yield int(chunk.row[start]), "".join(chunk.text(chunk.starts[i], chunk.ends[i]) for i in range(start, stop))
+
+
 def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float], collapsed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The highest margin of each row's candidate strings, the bias at least."""
+    chunk.data = _spaced(chunk.data)
     chunk.words()
     best = np.full(chunk.n_rows, model.bias)
     if not len(chunk.starts):
@@ -315,16 +351,10 @@ def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float], collapsed
             seen.clear()
         seen.update(zip(words[new].tolist(), margins[new].tolist()))
     np.maximum.at(best, chunk.row, margins[which])
-    # runs of single letters, spelled out with spaces
-    single = np.concatenate(([False], chunk.ends - chunk.starts == 1, [False]))
-    turn = np.flatnonzero(single[1:] != single[:-1])
-    for start, stop in zip(turn[::2], turn[1::2]):
-        for row in np.unique(chunk.row[start:stop]):
-            inside = np.arange(start, stop)[chunk.row[start:stop] == row]
-            if len(inside) >= ORDER:
-                own = [p for p in pieces("".join(chunk.text(chunk.starts[i], chunk.ends[i]) for i in inside)) if len(p) >= ORDER]
-                if own:
-                    best[row] = max(best[row], float(model.margins(own, *collapsed).max()))
+    for row, run in _letter_runs(chunk):
+        own = [p for p in pieces(run) if len(p) >= ORDER]
+        if own:
+            best[row] = max(best[row], float(model.margins(own, *collapsed).max()))
     return best
 
 

@@ -208,6 +208,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_toxicity(make_docs(spark, []), model).count() == 0
 
 
+def test_toxicity_of_spaced_out_letters_of_all_scripts(spark):
+    import pyarrow as pa
+
+    from eventloom.llm.texts import chunks
+    from eventloom.llm.toxicity import _letter_runs, _spaced, candidate_strings, letters, pieces, score_toxicity, train
+
+    rows = [("du débile là", 1), ("ты дурак опять", 1)] * 20 + [("il a dit non", 0), ("всё было хорошо", 0), ("fine day", 0)] * 40
+    model = train(rows)
+    texts = ["un d é b i l e", "ты д у р а к", "un d e\u0301 b i l e", "un\u3000d\u00a0é\u2003b i\u0085l\u202fe", "un a b", "il a dit", None, "д у р", "а к", "ε ὶ 𝔞 b", "x\u1680y\x1cz"]
+    score = [r.score for r in sorted(score_toxicity(make_docs(spark, enumerate(texts)), model).collect(), key=lambda r: r.doc_id)]
+    assert min(score[:4]) > 0.7 > 0.3 > max(score[4:7])
+    for text in texts:
+        (chunk,) = chunks(pa.array([text]))
+        chunk.data = _spaced(chunk.data)
+        chunk.words()
+        words = [chunk.text(a, b) for a, b in zip(chunk.starts, chunk.ends)]
+        assert words == (text or "").split()
+        seen = [p for w in [*words, *(run for _, run in _letter_runs(chunk))] for p in pieces(w) if len(p) >= 3]
+        assert sorted(seen) == sorted(candidate_strings(text or ""))
+    assert letters("e\u0301") == "é"
+
+
 def test_quality_on_held_out_rows(spark):
     labels = _labels(spark, "/root/testdata/sf0.01")
     got = [r for r in Q.op8_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
