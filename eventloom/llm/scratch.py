@@ -1,56 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables, by the name that the corpus operators use."""
 
-from __future__ import annotations
+from eventloom.scratch import partitions, shared_folder, write_out
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, read from the session.
-
-    Where the setting is absent a temporary folder is used, which is right for a
-    local master only; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="eventloom-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return _LOCAL[0]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    except Exception:  # the session has ended already; the folder's owner cleans up
-        pass
-
-
-def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, so a lost executor costs a read and not the whole plan
-    before it, and a result that several later steps use is computed once. The files
-    go when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["partitions", "shared_folder", "write_out"]

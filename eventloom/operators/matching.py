@@ -9,6 +9,7 @@ key nor a pattern without keys falls back to comparing all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.plans.pattern import And, Condition, Event, Not, Or, Part, Pattern, Repeat, Seq
+from eventloom.scratch import write_out
 
 _OWN = ["lo_ts", "hi_ts", "lo_pos", "hi_pos", "lo_m", "hi_m", "ids", "prob"]
+_SPAN = ["lo_ts", "hi_ts", "lo_pos", "hi_pos", "ids"]
 
 
 def stream(events: DataFrame, position: str = "event_id", time: str = "ts", kind: str = "event_type") -> DataFrame:
@@ -110,11 +113,53 @@ class _Lowering:
         positive = [p for p in part.parts if not isinstance(p, Not)]
         if part.gap != "any":
             return self.absent(self.followed(positive, part.gap), part)
-        rows = self.build(positive[0])
-        for p in positive[1:]:
-            on = self.in_order() & self.within() & ~F.arrays_overlap("ids", "r_ids")
-            rows = self.merged(self.meet(rows, self.build(p), on, "inner", False))
-        return self.absent(rows, part)
+        return self.absent(self.joined(positive, True), part)
+
+    def joined(self, parts: list[Part], ordered: bool) -> DataFrame:
+        """All parts within the window, one after the other if ordered.
+
+        Repetitions come last, each grown between its neighbours that are there already, so a chain grows
+        only where these match. If all parts are repetitions, the first is grown by itself.
+        """
+        fixed = [i for i, p in enumerate(parts) if not isinstance(p, Repeat)] or [0]
+        rows = None
+        for i in fixed:
+            own = self.build(parts[i]).withColumn(f"_at{i}", F.struct(*_SPAN))
+            if rows is None:
+                rows = own
+                continue
+            on = self.within() & ~F.arrays_overlap("ids", "r_ids")
+            rows = self.merged(self.meet(rows, own, self.in_order() & on if ordered else on, "inner", not ordered))
+        for i, p in enumerate(parts):
+            if i not in fixed:
+                after = min((j for j in fixed if j > i), default=None)
+                rows = self.grown(rows, p, i, i - 1 if ordered and i else None, after if ordered else None)
+        marks = [f"_at{i}" for i in range(len(parts))]
+        return rows.withColumn("ids", F.concat(*(F.col(m).ids for m in marks))).drop(*marks)
+
+    def grown(self, rows: DataFrame, part: Repeat, place: int, before: int | None, after: int | None) -> DataFrame:
+        """Rows with each chain of the repetition that fits between two of their parts."""
+        one, at, position = self.items(part), f"_at{place}", self.pattern.order == "position"
+        fits = self.within() & ~F.arrays_overlap("_fixed", "r_ids")
+        if before is not None:
+            b = F.col(f"_at{before}")
+            fits = fits & ((b.hi_pos < F.col("r_lo_pos")) if position else (b.hi_ts <= F.col("r_lo_ts")))
+        if after is not None:
+            a = F.col(f"_at{after}")
+            fits = fits & ((F.col("r_hi_pos") < a.lo_pos) if position else (F.col("r_hi_ts") <= a.lo_ts))
+        new = F.struct(*(F.col(f"r_{c}").alias(c) for c in _SPAN))
+        met = self.meet(rows.withColumn("_fixed", F.col("ids")), one, fits, "inner", before is None)
+        first = self.merged(met.withColumn(at, new).withColumn("_tail", F.col("r_ids"))).withColumn(part.alias, F.array("_item")).drop("_item")
+
+        def step(chains: DataFrame) -> DataFrame:
+            old = F.col(at)
+            span = {"lo_ts": F.least, "hi_ts": F.greatest, "lo_pos": F.least, "hi_pos": F.greatest, "ids": F.concat}
+            both = F.struct(*(f(old[c], F.col(f"r_{c}")).alias(c) for c, f in span.items()))
+            found = self.meet(chains, one, self.later(old.hi_pos) & fits, "inner", before is None)
+            found = self.merged(found.withColumn(at, both).withColumn("_tail", F.col("r_ids")))
+            return found.withColumn(part.alias, F.array_append(part.alias, F.col("_item"))).drop("_item")
+
+        return self.rounds(first, step, part).drop("_fixed", "_tail")
 
     def followed(self, parts: list[Event | Or], gap: str) -> DataFrame:
         """Single events, each the very next of its partition (strict) or the first that fits (next); no join.
@@ -199,38 +244,45 @@ class _Lowering:
 
     def conjunction(self, part: And) -> DataFrame:
         positive = [p for p in part.parts if not isinstance(p, Not)]
-        rows = self.build(positive[0])
-        for p in positive[1:]:
-            rows = self.merged(self.meet(rows, self.build(p), self.within() & ~F.arrays_overlap("ids", "r_ids"), "inner", True))
-        return self.absent(rows, part)
+        return self.absent(self.joined(positive, False), part)
 
     # repetition
 
-    def repetition(self, part: Repeat) -> DataFrame:
-        """Chains of the part's matches, each later than the one before; grown one step at a time within the window."""
+    def items(self, part: Repeat) -> DataFrame:
         own = part.part.aliases()
-        each = self.build(part.part)
         item = F.col(own[0]) if len(own) == 1 else F.struct(*own)
-        one = each.withColumn("item", item).drop(*own)
-        rows = one.withColumn(part.alias, F.array("item")).withColumn("tail", F.col("ids")).drop("item")
-        most = part.most or self.pattern.settings.get("most_repeats", 8)
-        found = [rows] if part.least <= 1 else []
-        for n in range(2, most + 1):
-            # parts come in the order of their last events; ties, which share that event, by their positions
-            later = (F.col("hi_pos") < F.col("r_hi_pos")) | ((F.col("hi_pos") == F.col("r_hi_pos")) & (F.col("tail") < F.col("r_ids")))
-            on = later & self.within()
-            if self.pattern.order == "position":
-                on = (F.col("hi_pos") < F.col("r_lo_pos")) & self.within()
-            met = self.meet(rows, one, on, "inner", True).withColumn("tail", F.col("r_ids"))
-            rows = self.merged(met).withColumn(part.alias, F.array_append(part.alias, F.col("item"))).drop("item")
+        return self.build(part.part).withColumn("_item", item).drop(*own)
+
+    def later(self, hi_pos: Column) -> Column:
+        """Parts come in the order of their last events; ties, which share that event, by their positions."""
+        if self.pattern.order == "position":
+            return hi_pos < F.col("r_lo_pos")
+        return (hi_pos < F.col("r_hi_pos")) | ((hi_pos == F.col("r_hi_pos")) & (F.col("_tail") < F.col("r_ids")))
+
+    def rounds(self, rows: DataFrame, step: Callable[[DataFrame], DataFrame], part: Repeat) -> DataFrame:
+        """Chains of all lengths that are asked for; without a bound they grow until a round, written out, is empty."""
+        found, n = [], 1
+        while True:
+            if part.most is None:
+                rows = write_out(rows, "chains")
             if n >= part.least:
                 found.append(rows)
-        if part.most is None:
-            # the settings bound the chain's length; a longer one is an error, never silently cut
-            longer = self.meet(rows, one, (F.col("hi_pos") < F.col("r_lo_pos")) & self.within(), "inner", True)
-            if not self.pattern.settings.get("cut") and not longer.isEmpty():
-                raise ValueError(f"a repetition is longer than most_repeats={most}; raise it in the pattern's settings")
-        return reduce(DataFrame.unionByName, found).drop("tail")
+            if n == part.most or (part.most is None and rows.isEmpty()):
+                break
+            rows, n = step(rows), n + 1
+        # chains that ended before the least length leave the last, empty round
+        return reduce(DataFrame.unionByName, found or [rows])
+
+    def repetition(self, part: Repeat) -> DataFrame:
+        """Chains of the part's matches, each later than the one before; grown one step at a time within the window."""
+        one = self.items(part)
+
+        def step(chains: DataFrame) -> DataFrame:
+            met = self.meet(chains, one, self.later(F.col("hi_pos")) & self.within(), "inner", True).withColumn("_tail", F.col("r_ids"))
+            return self.merged(met).withColumn(part.alias, F.array_append(part.alias, F.col("_item"))).drop("_item")
+
+        first = one.withColumn(part.alias, F.array("_item")).withColumn("_tail", F.col("ids")).drop("_item")
+        return self.rounds(first, step, part).drop("_tail")
 
     def build(self, part: Part) -> DataFrame:
         if isinstance(part, Event):

@@ -96,6 +96,18 @@ def test_gap_of_other_parts_is_an_error(spark):
     assert count(spark, Seq(A, B, gap="strict"), 5, "A0 C1 B2") == 0
 
 
+def test_repetitions_have_no_cap(spark):
+    between = Seq(A, Repeat(B, "k"), C)
+    chain = " ".join(f"B{i}" for i in range(1, 10))
+    assert count(spark, between, 60, f"A0 {chain} C10") == 2**9 - 1
+    hot = " ".join(f"B{i}" for i in range(30))
+    assert count(spark, between, 90, f"{hot} A30 B31 C32 {hot.replace('B', 'B5')}") == 1
+    assert count(spark, Repeat(Seq(A, B), "k"), 5, "A0 B1 A2 B3") == 7
+    assert count(spark, And(C, Repeat(B, "k")), 5, "B0 B1 C2 B3 B9") == 7
+    rows = match(events(spark, "A0 B1 B2 C3"), Pattern(between, Window(5 * SECOND))).collect()
+    assert sorted(r.ids for r in rows) == [[0, 1, 2, 3], [0, 1, 3], [0, 2, 3]]
+
+
 def test_single_use_and_consumption_against_loops(spark):
     draw = random.Random(2)
     rows = []
