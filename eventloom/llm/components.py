@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import write_out
+from .rows import sent
+from .scratch import remove, write_out
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b, whole numbers): the least node that it reaches.
 
     Large-star and small-star rounds (Kiveris et al., 2014): every node points its larger,
     then its smaller neighbours to the least one, until each component is a star. A
-    round costs two aggregations of minima, which combine before the shuffle, and two joins. Edges are never
+    round costs two aggregations of minima, which combine before the shuffle, and two joins with these minima. They are
+    sent to every executor while there are few, and else written out, so that adaptive execution
+    can split the rows of a star's centre. Edges are never
     collected; each round is written out, which cuts its lineage. Loops and repeated edges change
     nothing. An empty table has no nodes.
     """
     now = write_out(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round that changes edges lowers their sum, so the rounds end
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        smallest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
-        now = write_out(small.filter("a <> b").distinct(), "components")
-    else:
-        raise RuntimeError("components did not settle")
+        least = write_out(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
+        large = both.join(sent(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = write_out(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "components-down")
+        smallest = write_out(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
+        small = down.join(sent(smallest), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
+        last, now = now, write_out(small.filter("a <> b").distinct(), "components")
+        remove(last, least, down, smallest)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
