@@ -41,7 +41,7 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = fertility(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measures = ["n_tokens", "chars_per_token", "byte_share", "entropy", "script"]
+    measures = ["n_tokens", "chars_per_token", "byte_share", "entropy", "evenness", "band"]
     return measured.select("doc_id", *counts, failed.alias("base_failed"), (~failed & F.col("fertile")).alias("kept"), *measures)
 
 

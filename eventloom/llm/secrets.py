@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,12 +21,12 @@ class Form(NamedTuple):
 
 
 class CharClass(NamedTuple):
-    """Characters whose strings are scanned, the least entropy in bits of a window, and what a string must also match."""
+    """Characters whose strings are scanned, the least entropy in bits of a window, and sets of characters of each of which a string must hold one."""
 
     kind: str
     characters: str
     bits: float
-    also: str
+    holds: tuple[str, ...]
 
 
 FORMS = [
@@ -37,67 +39,85 @@ WINDOW = 20
 #: A window of 20 characters holds at most 4.32 bits; random hexadecimal ones hold about 3.2, random base64 ones about 4.1,
 #: random ones of one case and digits about 3.8, 3.4 at least in 98 of 100 strings of 20 characters.
 CLASSES = [
-    CharClass("entropy_hex", "0123456789abcdefABCDEF", 3.0, r"[0-9].*[a-fA-F]|[a-fA-F].*[0-9]"),
-    CharClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
-    CharClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4, r"(?=.*[0-9])(?=.*[A-Z])"),
-    CharClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4, r"(?=.*[0-9])(?=.*[a-z])"),
+    CharClass("entropy_hex", "0123456789abcdefABCDEF", 3.0, ("[0-9]", "[a-fA-F]")),
+    CharClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9, ("[0-9]", "[A-Z]", "[a-z]")),
+    CharClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4, ("[0-9]", "[A-Z]")),
+    CharClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4, ("[0-9]", "[a-z]")),
 ]
 #: Strings that look random but are public: UUIDs, digests written with their algorithm's name, paths of words, keys of manuals.
-#: A pattern sees a run of a class and suppresses what it matches; the rest of the run is rated.
+#: A pattern sees a run of a class and suppresses what it matches; the rest of the run is rated. Repeated groups are
+#: possessive, as the regular expressions of the JVM recurse at each repetition of others.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^md5-(?:[0-9a-fA-F]{32}|[A-Za-z0-9+/_-]{22})",
     r"^sha1-(?:[0-9a-fA-F]{40}|[A-Za-z0-9+/_-]{27})",
     r"^sha256-(?:[0-9a-fA-F]{64}|[A-Za-z0-9+/_-]{43})",
     r"^sha512-(?:[0-9a-fA-F]{128}|[A-Za-z0-9+/_-]{86})",
-    r"^(?:[A-Za-z]+[/_-])+[A-Za-z]+$",
+    r"^(?:[A-Za-z]++[/_-])++[A-Za-z]++$",
     r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE(?:KEY)?",
-    r"AKIA[A-Z0-9]*EXAMPLE|EXAMPLE(?:KEY)?",
+    r"AKIA[A-Z0-9]{0,16}EXAMPLE|EXAMPLE(?:KEY)?",
 ]
 
 
+#: Values that a block of a running combination holds.
+BLOCK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """At each place of an array of whole numbers from 0, the combination (a sum or greatest) of all up to it.
+
+    An array that grows by one is copied each time, so it grows in blocks.
+    """
+    empty = F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("blocks"), F.array().cast("array<int>").alias("block"))
+
+    def step(a: Column, x: Column) -> Column:
+        now, full = combine(a["last"], x), F.size(a.block) >= BLOCK
+        blocks, block = F.when(full, F.array_append(a.blocks, a.block)).otherwise(a.blocks), F.when(full, F.array(now)).otherwise(F.array_append(a.block, now))
+        return F.struct(now.alias("last"), blocks.alias("blocks"), block.alias("block"))
+
+    return F.aggregate(values, empty, step, lambda a: F.flatten(F.array_append(a.blocks, a.block)))
+
+
 def found_at(text: Column, pattern: str) -> Column:
-    """Array of structs (start, match) of all matches, leftmost and non-overlapping; positions in code points.
+    """Array of structs (start, hit) of all matches, leftmost and non-overlapping; positions in code points.
 
-    The pieces between matches and the matches alternate, so a match begins after
-    the pieces and matches before it.
+    The pieces between matches and the matches alternate, so a match ends after all pieces and matches up to it.
     """
-    gaps, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p.hit.isNotNull()),
-        start,
-        lambda a, p: F.struct(
-            (a.end + p.gap + F.length(p.hit)).alias("end"),
-            F.array_append(a.out, F.struct((a.end + p.gap).alias("start"), p.hit.alias("hit"))).alias("out"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked.out).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+
+    def located(own: Column) -> Column:
+        gaps, hits = F.split(own, pattern), F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
+        pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct((F.length(g) + F.length(h)).alias("length"), h.alias("hit"))), lambda p: p.hit.isNotNull())
+        ends = lambda found: running(F.transform(found, lambda p: p.length), lambda x, y: x + y)
+        return bound(pairs, lambda found: F.zip_with(ends(found), found, lambda end, p: F.struct((end - F.length(p.hit)).alias("start"), p.hit.alias("hit"))))
+
+    return bound(text, lambda own: F.when(own.rlike(pattern), located(own)).otherwise(F.array().cast("array<struct<start:int,hit:string>>")))
 
 
-def window_bits(string: Column, characters: str, window: int = WINDOW) -> Column:
-    """The highest entropy of any ``window`` consecutive characters of ``string``, all of ``characters``.
+def window_bits(string: Column, window: int = WINDOW) -> Column:
+    """The highest entropy of any ``window`` consecutive characters of ``string``; 0 if it has fewer.
 
-    One walk keeps the counts of the window's characters and the sum of count * log2(count):
-    a step changes both by the character that enters and the one that leaves.
+    One walk keeps the sum of count * log2(count) over the window's characters: a step changes it by
+    the counts of the character that leaves and of the one that enters, and no others.
     """
-    plogp = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.array_repeat(F.lit(0), len(characters))
-    code = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(characters), c) - 1)
-    step = lambda counts, which, by: F.transform(counts, lambda n, j: F.when(j == which, n + by).otherwise(n))
-    bare = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    plogp = [n * math.log2(n) if n else 0.0 for n in range(window + 1)]
+    table = lambda values: F.array(*map(F.lit, values))
+    loss, gain = table([0.0] + [plogp[n - 1] - plogp[n] for n in range(1, window + 1)]), table([plogp[n + 1] - plogp[n] for n in range(window)])
+    held = lambda part, c: F.size(part) - F.size(F.array_remove(part, c))
 
-    def move(a: Column, i: Column) -> Column:
-        leaves = F.when(i >= window, F.get(code, i - window)).otherwise(F.lit(-1))
-        enters = F.get(code, i)
-        less = step(a.counts, leaves, -1)
-        n_out, n_in = F.coalesce(F.get(a.counts, leaves), F.lit(0)), F.coalesce(F.get(less, enters), F.lit(0))
-        total = a.sum + F.when(leaves >= 0, plogp(n_out - 1) - plogp(n_out)).otherwise(F.lit(0.0)) + plogp(n_in + 1) - plogp(n_in)
-        bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(step(less, enters, 1).alias("counts"), total.alias("sum"), F.greatest(a.best, bits).alias("best"))
+    def move(codes: Column, a: Column, c: Column) -> Column:
+        full = a.at >= window
+        out = F.when(full, F.get(loss, held(F.slice(codes, a.at - window + 1, F.lit(window)), F.get(codes, a.at - window)))).otherwise(F.lit(0.0))
+        kept = F.when(full, F.slice(codes, a.at - window + 2, F.lit(window - 1))).otherwise(F.slice(codes, F.lit(1), a.at))
+        total = a["sum"] + out + F.get(gain, held(kept, c))
+        return F.struct((a.at + 1).alias("at"), total.alias("sum"), F.when(a.at >= window - 1, F.least(a.least, total)).otherwise(a.least).alias("least"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), bare, move, lambda a: a.best)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(plogp[window]).alias("least"))
+    return bound(F.split(string, ""), lambda codes: F.aggregate(codes, start, lambda a, c: move(codes, a, c), lambda a: math.log2(window) - a.least / window))
 
 
 def _form_spans(text: Column, form: Form, order: int) -> Column:
@@ -114,7 +134,8 @@ def _blanked(string: Column, pattern: str) -> Column:
     return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.repeat(F.lit(" "), F.coalesce(F.length(h), F.lit(0))))), "")
 
 
-def _class_spans(text: Column, own: CharClass, order: int, allowed: Sequence[str]) -> Column:
+def _class_runs(text: Column, own: CharClass, order: int, allowed: Sequence[str]) -> Column:
+    """Runs of the class that hold what they must, less what is allowed: structs (start, order, end, hit)."""
     inside = "".join("\\" + c if c in "-/+" else c for c in own.characters)
     pattern = f"[{inside}]{{{WINDOW},}}"
     runs = found_at(text, pattern)
@@ -122,9 +143,18 @@ def _class_spans(text: Column, own: CharClass, order: int, allowed: Sequence[str
         public = "|".join(allowed)
         left = lambda m: F.transform(found_at(_blanked(m.hit, public), pattern), lambda p: F.struct((m.start + p.start).alias("start"), p.hit.alias("hit")))
         runs = F.flatten(F.transform(runs, lambda m: F.when(m.hit.rlike(public), left(m)).otherwise(F.array(m))))
-    dense = F.filter(runs, lambda m: m.hit.rlike(own.also))
-    rated = F.filter(dense, lambda m: window_bits(m.hit, own.characters) >= own.bits)
-    return F.transform(rated, lambda m: F.struct(m.start.alias("start"), F.lit(order).alias("order"), F.lit(own.kind).alias("kind"), (m.start + F.length(m.hit)).alias("end")))
+    mixed = F.filter(runs, lambda m: reduce(Column.__and__, (m.hit.rlike(x) for x in own.holds)))
+    return F.transform(mixed, lambda m: F.struct(m.start.alias("start"), F.lit(order).alias("order"), (m.start + F.length(m.hit)).alias("end"), m.hit.alias("hit")))
+
+
+def _outside(spans: Column, forms: int) -> Column:
+    """Of sorted spans, the dense ones that no known form holds: in this order, none of the forms so far reaches as far."""
+
+    def kept(own: Column) -> Column:
+        reach = running(F.transform(own, lambda s: F.when(s.order < forms, s.end).otherwise(F.lit(0))), F.greatest)
+        return F.transform(F.filter(F.zip_with(own, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: (x.s.order >= forms) & (x.r < x.s.end)), lambda x: x.s)
+
+    return bound(spans, kept)
 
 
 def _written(spans: Column) -> Column:
@@ -138,7 +168,8 @@ def find_secrets(docs: DataFrame, forms: Sequence[Form] = FORMS, classes: Sequen
     by kind as listed. Dense strings are runs of a character class that hold a window of 20
     characters with enough Shannon entropy, less what an allow-list pattern matches, unless
     they lie inside a known form; a run that reaches beyond the form is kept whole. The entropy's counts
-    move with the window. Runs of letters only, or of digits only, aren't rated.
+    move with the window. Runs of letters only, or of digits only, aren't rated. The work grows with the length of a text, of a run and of the
+    number of matches, not with their squares.
 
     A narrow pass per row, without shuffles; texts without a match of a pattern cost one search.
     Null texts count as empty and have no spans. Repeated rows have equal results. Other columns are not
@@ -147,9 +178,14 @@ def find_secrets(docs: DataFrame, forms: Sequence[Form] = FORMS, classes: Sequen
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.sort_array(F.concat(*[_form_spans(body, f, i) for i, f in enumerate(forms)]))
     rows = docs.select(F.col(row_id), body.alias("body"), base.alias("base"))
-    dense = F.concat(*[_class_spans(F.col("body"), c, len(forms) + i, allowed) for i, c in enumerate(classes)])
-    new = F.filter(dense, lambda d: ~F.exists("base", lambda b: (b.start <= d.start) & (d.end <= b.end)))
-    return rows.select(row_id, "base", F.sort_array(F.concat("base", new)).alias("spans"))
+    runs = F.concat(*[_class_runs(F.col("body"), c, len(forms) + i, allowed) for i, c in enumerate(classes)])
+    known = F.transform("base", lambda b: F.struct(b.start.alias("start"), b.order.alias("order"), b.end.alias("end"), F.lit(None).cast("string").alias("hit")))
+    bits, kinds = F.array(*(F.lit(c.bits) for c in classes)), F.array(*(F.lit(c.kind) for c in classes))
+    open_ = F.when(F.size("runs") > 0, _outside(F.sort_array(F.concat(known, "runs")), len(forms))).otherwise(F.col("runs"))
+    dense = F.filter("open", lambda s: window_bits(s.hit) >= F.get(bits, s.order - len(forms)))
+    named = F.transform("dense", lambda s: F.struct(s.start.alias("start"), s.order.alias("order"), F.get(kinds, s.order - len(forms)).alias("kind"), s.end.alias("end")))
+    rows = rows.select(row_id, "base", runs.alias("runs")).select(row_id, "base", open_.alias("open")).select(row_id, "base", dense.alias("dense"))
+    return rows.select(row_id, "base", F.sort_array(F.concat("base", named)).alias("spans"))
 
 
 def secret_digest(found: DataFrame, row_id: str = "doc_id", forms: Sequence[Form] = FORMS) -> DataFrame:
