@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.functions import conditions
 from eventloom.operators import routing, selection, statistics
 from eventloom.operators.matching import match, stream
 from eventloom.plans.pattern import DAY, HOUR, And, Event, Not, Or, Pattern, Repeat, Seq, Window
+from eventloom.scratch import shared_folder
+from eventloom.sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,6 +235,29 @@ def nested_not(spark, sf_dir):
     return _find(spark, sf_dir, Seq(_e("signup", "a"), Not(Seq(_e("error", "n"), _e("click", "b"), Not(_e("view", "x"))))), DAY, "a")
 
 
+@query("""SELECT CASE WHEN a.event_type = 'view' THEN a.event_id END AS a_id, CASE WHEN a.event_type = 'click' THEN a.event_id END AS b_id, c.event_id AS c_id
+FROM events a JOIN events c ON a.user_id = c.user_id WHERE a.event_type IN ('view', 'click') AND c.event_type = 'purchase' AND c.ts >= a.ts AND c.ts <= a.ts + INTERVAL 24 HOUR
+AND """ + _NO.format("n.ts >= a.ts AND n.ts <= c.ts"))
+def not_beside_or(spark, sf_dir):
+    return _find(spark, sf_dir, Seq(Or(_e("view", "a"), _e("click", "b")), Not(_e("error", "n")), _e("purchase", "c")), DAY, "a", "b", "c")
+
+
+@query(_PAIR.format(cols="a.event_id AS a_id, b.event_id AS b_id, NULL::BIGINT AS c_id", keys="a.user_id = b.user_id", on="AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR AND b.value > a.value", x="view", y="purchase") + " UNION ALL SELECT NULL, NULL, event_id FROM events WHERE event_type = 'signup'")
+def or_condition(spark, sf_dir):
+    """A condition on events of one alternative keeps the matches of the other."""
+    structure = Or(Seq(_e("view", "a"), _e("purchase", "b")), _e("signup", "c"))
+    return _find(spark, sf_dir, structure, DAY, "a", "b", "c", condition=lambda v: v("b", "value") > v("a", "value"))
+
+
+@query("""WITH p AS (SELECT a.user_id, a.event_id AS x, b.event_id AS y, a.ts AS lo, b.ts AS hi FROM events a JOIN events b ON a.user_id = b.user_id
+WHERE a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR)
+SELECT x || ',' || y || ',' || c.event_id AS ids FROM p JOIN events c ON c.user_id = p.user_id AND c.event_type = 'purchase' AND c.ts >= p.hi AND c.ts <= p.lo + INTERVAL 24 HOUR
+WHERE NOT EXISTS (SELECT 1 FROM events n WHERE n.user_id = p.user_id AND n.event_type = 'error' AND n.ts >= p.hi AND n.ts <= c.ts)""")
+def not_beside_repeat(spark, sf_dir):
+    structure = Seq(Repeat(Seq(_e("view", "a"), _e("click", "b")), "k", 1, 1), Not(_e("error", "n")), _e("purchase", "c"))
+    return _find(spark, sf_dir, structure, DAY).select(_ids().alias("ids"))
+
+
 # probability
 
 
@@ -268,14 +295,13 @@ def kleene_bounded_2_3(spark, sf_dir):
 @query(_CHAIN.format(where0="AND value > 50", where="AND e.value > 50", size=2 * DAY, most=3, least=2))
 def kleene_forall_value(spark, sf_dir):
     found = _find(spark, sf_dir, Repeat(_e("click", "k"), "k", 2, 3), 2 * DAY)
-    return found.filter(F.forall("k", lambda x: x.value > 50)).select(_ids().alias("ids"))
+    return found.filter(conditions.by_value(F.col("k"), lambda x, v: x.value > v, F.lit(50))).select(_ids().alias("ids"))
 
 
 @query(_CHAIN.format(where0="", where="AND e.value > r.last_value", size=2 * DAY, most=3, least=2))
 def kleene_offset_increasing(spark, sf_dir):
     found = _find(spark, sf_dir, Repeat(_e("click", "k"), "k", 2, 3), 2 * DAY)
-    rising = F.forall(F.sequence(F.lit(0), F.size("k") - 2), lambda i: F.get(F.col("k"), i).value < F.get(F.col("k"), i + 1).value)
-    return found.filter(rising).select(_ids().alias("ids"))
+    return found.filter(conditions.by_offset(F.col("k"), 1, lambda x, y: x.value < y.value)).select(_ids().alias("ids"))
 
 
 @query("""WITH RECURSIVE r(user_id, first_us, a_id, last_id, ids) AS (
@@ -326,6 +352,19 @@ def srt_next2(spark, sf_dir):
     return _find(spark, sf_dir, structure, 2 * DAY, "a", "b", order="position", inclusive=False)
 
 
+@query(_TRIPLE.format(cols=_ABC, x="view", y="click", z="purchase", on="b.event_id > a.event_id AND c.event_id > b.event_id AND epoch_us(c.ts) - epoch_us(a.ts) < 86400000000"))
+def srt_any3(spark, sf_dir):
+    return _find(spark, sf_dir, Seq(_e("view", "a"), _e("click", "b"), _e("purchase", "c"), gap="any"), DAY, "a", "b", "c", order="position", inclusive=False)
+
+
+@query("""WITH x AS (SELECT a.event_id AS a_id, any_value(a.user_id) AS user_id, any_value(epoch_us(a.ts)) AS us, min(b.event_id) AS b_id FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_id > a.event_id
+WHERE a.event_type = 'view' AND b.event_type = 'click' GROUP BY a.event_id)
+SELECT a_id, any_value(b_id) AS b_id, min(c.event_id) AS c_id FROM x JOIN events c ON c.user_id = x.user_id AND c.event_id > x.b_id WHERE c.event_type = 'purchase' GROUP BY a_id HAVING min(epoch_us(c.ts)) - any_value(us) < 259200000000""")
+def srt_next3(spark, sf_dir):
+    structure = Seq(_e("view", "a"), _e("click", "b"), _e("purchase", "c"), gap="next")
+    return _find(spark, sf_dir, structure, 3 * DAY, "a", "b", "c", order="position", inclusive=False)
+
+
 @query(_TRIPLE.format(cols=_ABC, x="view", y="view", z="view", on="b.event_id > a.event_id AND c.event_id > b.event_id AND b.value > a.value AND c.value > b.value AND epoch_us(c.ts) - epoch_us(a.ts) < 86400000000"))
 def srt_register_chain(spark, sf_dir):
     rising = lambda v: (v("b", "value") > v("a", "value")) & (v("c", "value") > v("b", "value"))
@@ -403,6 +442,44 @@ def consume_partition(spark, sf_dir):
     return selection.consume(_runs(spark, sf_dir), ["user_id"]).select(_ids().alias("ids"))
 
 
+@query(f"""WITH RECURSIVE {_RUNS}, nx AS (SELECT x.e, min(m.e) AS nxt FROM (SELECT DISTINCT e FROM m) x JOIN m ON m.s > x.e GROUP BY x.e),
+t(e) AS (SELECT min(e) FROM m UNION ALL SELECT nx.nxt FROM t JOIN nx ON nx.e = t.e), f AS (SELECT e, lag(e) OVER (ORDER BY e) AS p FROM t)
+SELECT {_OUT.replace('s AS', 'm.s AS').replace('(e AS', '(m.e AS')} FROM m JOIN f ON f.e = m.e AND (f.p IS NULL OR m.s > f.p)""")
+def ceql_consume_any(spark, sf_dir):
+    """Each completing event clears the partial matches of all users."""
+    return selection.consume(_runs(spark, sf_dir), []).select(_ids().alias("ids"))
+
+
+SQL["srt_consume"] = SQL["ceql_consume_any"]
+
+
+@query(SQL["srt_consume"])
+def srt_consume(spark, sf_dir):
+    """The same for sequences of single events by any gap: a match clears every run of every partition."""
+    structure = Seq(_e("view", "a"), _e("click", "b"), _e("purchase", "c"), gap="any")
+    found = _find(spark, sf_dir, structure, 3 * DAY, order="position", inclusive=False)
+    return selection.consume(found.select("lo_pos", "hi_pos", "ids"), []).select(_ids().alias("ids"))
+
+
+@query(_CHAIN.format(where0="", where="", size=DAY, most=2, least=2))
+def srt_stop_after_final(spark, sf_dir):
+    """Chains of two clicks are complete, so none of three is reported."""
+    found = _find(spark, sf_dir, Repeat(_e("click", "k"), "k", 2, 3), DAY).select("key0", "lo_pos", "ids")
+    return selection.first_final(found, ["key0"]).select(_ids().alias("ids"))
+
+
+@query("SELECT event_id AS pos, event_type AS etype FROM events WHERE event_id < 500")
+def input_limit(spark, sf_dir):
+    return selection.limit_input(_events(spark, sf_dir), 500).select("pos", "etype")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN user_id ELSE event_id END AS key FROM events WHERE event_type IN ('view', 'click')")
+def covering_key(spark, sf_dir):
+    """A partition key from a list of attributes, of which each event type has another."""
+    keyed = routing.covering_key(_events(spark, sf_dir), ["user_id", "event_id"], {"view": ["user_id", "value"], "click": ["event_id"]})
+    return keyed.select("event_id", F.col("key").cast("long").alias("key"))
+
+
 @query("""WITH f AS (SELECT user_id, min(event_id) AS s FROM events GROUP BY user_id)
 SELECT a.event_id AS a_id, b.event_id AS b_id, c.event_id AS c_id FROM f JOIN events a ON a.event_id = f.s JOIN events b ON b.user_id = a.user_id JOIN events c ON c.user_id = a.user_id
 WHERE a.event_type = 'view' AND b.event_type = 'click' AND c.event_type = 'purchase' AND b.event_id > a.event_id AND c.event_id > b.event_id""")
@@ -474,6 +551,56 @@ def route_hypercube(spark, sf_dir):
     return match(dealt, pattern).select(_id("a"), _id("b"))
 
 
+# sources: events written as text and read again
+
+
+def _text(lines: DataFrame) -> str:
+    folder = f"{shared_folder(lines.sparkSession)}/eventloom/lines-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return folder
+
+
+_ATTRIBUTES = {k: {"user": "long", "value": "double", "note": "string"} for k in ("click", "purchase", "signup", "view", "error")}
+_READ = """SELECT event_id AS pos, event_type AS etype, {ts} AS ts, user_id AS "user", value, {note} AS note FROM events"""
+_NOTE = 'a, value=9) "b"'
+
+
+@query(_READ.format(ts="epoch_us(ts) // 1000", note=f"'{_NOTE}'"))
+def source_native(spark, sf_dir):
+    """Lines EVENT(attribute=value, ...) with a time, and keys and quotes inside a quoted value."""
+    note = F.lit('note="' + _NOTE.replace('"', '""') + '"')
+    line = F.concat("etype", F.lit("("), F.concat_ws(", ", F.concat(F.lit("__ts="), F.floor(F.col("us") / 1000)), F.concat(F.lit("user="), "user_id"), note, F.concat(F.lit("value="), "value")), F.lit(")"))
+    return text.read_native(spark, _text(_events(spark, sf_dir).orderBy("pos").select(line.alias("value"))), _ATTRIBUTES)
+
+
+@query(_READ.format(ts="epoch_us(date_trunc('second', ts)) // 1000", note="'x;y'"))
+def source_header_csv(spark, sf_dir):
+    """A header and rows cut at semicolons, with dates as times."""
+    row = F.concat_ws(";", "etype", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"x;y"'), F.col("value").cast("string"), F.col("user_id").cast("string"))
+    rows = _events(spark, sf_dir).select("pos", row.alias("value"))
+    head = spark.createDataFrame([(-1, "\ufeffEvent;time;note;value;user")], "pos long, value string")
+    return text.read_header_csv(spark, _text(head.unionByName(rows).orderBy("pos").coalesce(1).select("value")), _ATTRIBUTES)
+
+
+@query("SELECT event_id AS pos, CASE WHEN event_type = 'view' THEN 'BUY' ELSE 'SELL' END AS etype, event_id AS id, event_type || ', price=9' AS name, user_id AS volume, value AS price, epoch_us(ts) AS ts FROM events")
+def source_keyed_quoted(spark, sf_dir):
+    """Keyed lines whose names hold a comma and a key."""
+    kind = F.when(F.col("etype") == "view", "BUY").otherwise("SELL")
+    named = F.concat(F.lit('name="'), "etype", F.lit(', price=9"'))
+    line = F.concat(kind, F.lit("("), F.concat_ws(", ", named, *(F.concat(F.lit(f"{k}="), c) for k, c in (("id", "event_id"), ("volume", "user_id"), ("price", "value"), ("timestamp", "us")))), F.lit(")"))
+    lines = _events(spark, sf_dir).orderBy("pos").select(F.explode(F.array(line, F.lit("// a comment"), F.lit(" "))).alias("value"))
+    return text.read_keyed(spark, _text(lines), "stock").drop("timestamp")
+
+
+@query("""WITH u AS (SELECT 0 AS source, event_id, ts FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT 1, event_id, ts FROM events WHERE event_type NOT IN ('view', 'click'))
+SELECT event_id, source, row_number() OVER (ORDER BY ts, source, event_id) - 1 AS seq FROM u""")
+def source_merge(spark, sf_dir):
+    """Two streams in one order of time, numbered from 0."""
+    rows = _events(spark, sf_dir)
+    view = F.col("etype").isin("view", "click")
+    return text.merge([rows.filter(view), rows.filter(~view)]).select("event_id", "source", "seq")
+
+
 @query("""WITH u AS (SELECT 0 AS source, event_id, ts FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT 1, event_id, ts FROM events WHERE event_type NOT IN ('view', 'click'))
 SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, source, event_id) - 1 AS seq FROM u""")
 def merge_streams_order(spark, sf_dir):

@@ -1,0 +1 @@
+"""Conditions over repetitions and earlier events, and conversions of plain text."""

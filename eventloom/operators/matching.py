@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators.selection import single_use
 from eventloom.plans.pattern import And, Condition, Event, Not, Or, Part, Pattern, Repeat, Seq
 from eventloom.scratch import write_out
 
@@ -111,15 +112,15 @@ class _Lowering:
 
     def sequence(self, part: Seq) -> DataFrame:
         positive = [p for p in part.parts if not isinstance(p, Not)]
-        if part.gap != "any":
-            return self.absent(self.followed(positive, part.gap), part)
-        return self.absent(self.joined(positive, True), part)
+        rows = self.joined(positive, True) if part.gap == "any" else self.followed(positive, part.gap)
+        return self.absent(rows, part)
 
     def joined(self, parts: list[Part], ordered: bool) -> DataFrame:
         """All parts within the window, one after the other if ordered.
 
         Repetitions come last, each grown between its neighbours that are there already, so a chain grows
-        only where these match. If all parts are repetitions, the first is grown by itself.
+        only where these match. If all parts are repetitions, the first is grown by itself. Columns _at0, _at1 and so on
+        hold the span of each part.
         """
         fixed = [i for i, p in enumerate(parts) if not isinstance(p, Repeat)] or [0]
         rows = None
@@ -129,13 +130,16 @@ class _Lowering:
                 rows = own
                 continue
             on = self.within() & ~F.arrays_overlap("ids", "r_ids")
-            rows = self.merged(self.meet(rows, own, self.in_order() & on if ordered else on, "inner", not ordered))
+            rows = self.chosen(self.merged(self.meet(rows, own, self.in_order() & on if ordered else on, "inner", not ordered)))
         for i, p in enumerate(parts):
             if i not in fixed:
                 after = min((j for j in fixed if j > i), default=None)
                 rows = self.grown(rows, p, i, i - 1 if ordered and i else None, after if ordered else None)
-        marks = [f"_at{i}" for i in range(len(parts))]
-        return rows.withColumn("ids", F.concat(*(F.col(m).ids for m in marks))).drop(*marks)
+        return rows.withColumn("ids", F.concat(*(F.col(f"_at{i}").ids for i in range(len(parts)))))
+
+    def chosen(self, rows: DataFrame) -> DataFrame:
+        """With selection ``next``, each event of a partition is in one match of every node."""
+        return single_use(rows, self.keys) if self.pattern.selection == "next" else rows
 
     def grown(self, rows: DataFrame, part: Repeat, place: int, before: int | None, after: int | None) -> DataFrame:
         """Rows with each chain of the repetition that fits between two of their parts."""
@@ -199,6 +203,7 @@ class _Lowering:
         of = lambda name, side: side(F.transform("chain", lambda x: x[name]))
         rows = rows.select(
             *self.keys, *(x.event.alias(p.aliases()[0]) for x, p in zip(each, parts)),
+            *(F.struct(x.ts.alias("lo_ts"), x.ts.alias("hi_ts"), x.pos.alias("lo_pos"), x.pos.alias("hi_pos"), F.array(x.pos).alias("ids")).alias(f"_at{i}") for i, x in enumerate(each)),
             *(of(name, side).alias(f"{a}_{name}") for name in ("ts", "pos", "m") for a, side in (("lo", F.array_min), ("hi", F.array_max))),
             F.transform("chain", lambda x: x.pos).alias("ids"), reduce(lambda p, q: F.coalesce(p * q, p, q), [x.prob for x in each]).alias("prob"),
         )
@@ -211,24 +216,41 @@ class _Lowering:
         before or after all, within the window. A bounded one must have come before the match was
         complete.
         """
-        negated = [(i, p) for i, p in enumerate(part.parts) if isinstance(p, Not)]
-        for i, p in negated:
+        positive = [p for p in part.parts if not isinstance(p, Not)]
+        place = 0  # positive parts so far
+        for p in part.parts:
+            if not isinstance(p, Not):
+                place += 1
+                continue
             bad = self.build(p.part)
-            on = self.within()
+            on = self.within() & ~F.arrays_overlap("ids", "r_ids")
             if isinstance(part, Seq):
-                before = [a for q in part.parts[:i] for a in q.aliases()]
-                after = [a for q in part.parts[i + 1 :] for a in q.aliases()]
-                on = reduce(Column.__and__, [*(self._time(a, "max") <= F.col("r_lo_ts") for a in before), *(F.col("r_hi_ts") <= self._time(a, "min") for a in after)], on)
-                if after:
-                    on = on & (F.col("r_hi_pos") < F.col("hi_pos"))
-            on = on & ~F.arrays_overlap("ids", "r_ids")
+                time = self.pattern.order == "time"
+                if place:
+                    b = F.col(f"_at{place - 1}")
+                    on = on & ((b.hi_ts <= F.col("r_lo_ts")) if time else (b.hi_pos < F.col("r_lo_pos")))
+                if place < len(positive):
+                    a = F.col(f"_at{place}")
+                    on = on & ((F.col("r_hi_ts") <= a.lo_ts) if time else (F.col("r_hi_pos") < a.lo_pos)) & (F.col("r_hi_pos") < F.col("hi_pos"))
             if p.condition:
-                on = on & p.condition(lambda a, c: F.col(f"`{a}`.`{c}`"))
+                on = on & self.not_false(p.condition, set(part.aliases()))
             if self.pattern.confidence is not None and "probability" in self.columns:
                 rows = self.doubted(rows, bad, on)
             else:
                 rows = self.meet(rows, bad, on, "left_anti", True)
-        return rows
+        return rows.drop(*(f"_at{i}" for i in range(len(positive))))
+
+    def not_false(self, condition: Condition, bound: set[str]) -> Column:
+        """The condition, or true where it is unknown since an alternative leaves an alias of ``bound`` without an event."""
+        named: set[str] = set()
+
+        def value(alias: str, attribute: str) -> Column:
+            named.add(alias)
+            return F.col(f"`{alias}`.`{attribute}`")
+
+        holds = condition(value)
+        unknown = [F.col(f"`{a}`").isNull() for a in sorted(named & bound)]
+        return F.coalesce(holds, reduce(Column.__or__, unknown, F.lit(False)))
 
     def doubted(self, rows: DataFrame, bad: DataFrame, on: Column) -> DataFrame:
         """Uncertain forbidden parts don't drop a match; each makes it less likely by its own probability. A certain one leaves 0."""
@@ -237,11 +259,6 @@ class _Lowering:
         left = rows.join(doubt, keys, "left")
         return left.withColumn("prob", F.when(F.col("doubt").isNull(), F.col("prob")).otherwise(F.coalesce("prob", F.lit(1.0)) * F.col("doubt"))).drop("doubt")
 
-    def _time(self, alias: str, side: str) -> Column:
-        repeated = alias in self.repeated
-        own = F.col(f"`{alias}`.`us`")
-        return (F.array_max(own) if side == "max" else F.array_min(own)) if repeated else own
-
     def conjunction(self, part: And) -> DataFrame:
         positive = [p for p in part.parts if not isinstance(p, Not)]
         return self.absent(self.joined(positive, False), part)
@@ -298,19 +315,12 @@ class _Lowering:
         raise TypeError(f"{part} can't stand here")
 
     def run(self) -> DataFrame:
-        self.repeated = _repeats(self.pattern.structure)
         rows = self.build(self.pattern.structure)
         if self.pattern.condition:
-            rows = rows.filter(self.pattern.condition(lambda a, c: F.col(f"`{a}`.`{c}`")))
+            rows = rows.filter(self.not_false(self.pattern.condition, set(self.pattern.structure.aliases())))
         if self.pattern.confidence is not None:
             rows = rows.filter(F.coalesce("prob", F.lit(1.0)) >= self.pattern.confidence)
-        return rows
-
-
-def _repeats(part: Part) -> set[str]:
-    if isinstance(part, Repeat):
-        return {part.alias}
-    return {a for p in getattr(part, "parts", ()) for a in _repeats(p)}
+        return rows if self.pattern.selection == "any" else single_use(rows, self.keys)
 
 
 def match(events: DataFrame, pattern: Pattern) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ def by_key(events: DataFrame, key: str, units: int) -> DataFrame:
     return events.filter(F.col(key).isNotNull()).withColumn("unit", F.pmod(F.col(key).cast("long"), F.lit(units)))
 
 
+def covering_key(events: DataFrame, attributes: Sequence[str], held: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Events of the types of ``held`` (type to its attributes) with ``key``: the first attribute of the list that the type has.
+
+    A type without any of them can't be keyed, which is an error.
+    """
+    chosen = {kind: next((a for a in attributes if a in own), None) for kind, own in held.items()}
+    if lacking := sorted(k for k, a in chosen.items() if a is None):
+        raise ValueError(f"none of {list(attributes)} is an attribute of {lacking}")
+    key = F.coalesce(*(F.when(F.col("etype") == kind, F.col(a).cast("string")) for kind, a in sorted(chosen.items())))
+    return events.filter(F.col("etype").isin(*chosen)).withColumn("key", key)
+
+
 def by_time_slice(events: DataFrame, window_us: int, multiple: int, time: Column) -> DataFrame:
     """Unit by slices of ``multiple`` windows; an event within a window of its slice's begin also goes to the slice before.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.scratch import write_out
+
 
 def select_next(matches: DataFrame, partition: list[str]) -> DataFrame:
     """Of the matches with one start and end, the one that prefers early events: the least list of positions."""
@@ -45,54 +48,100 @@ def triggers(matches: DataFrame, partition: list[str]) -> DataFrame:
     return matches.select(*partition, F.col("hi_pos").alias("trigger_id")).distinct()
 
 
-def consume(matches: DataFrame, partition: list[str], doublings: int = 40) -> DataFrame:
+#: Positions in one range when the next match is sought; within a range a task sorts a partition's marks.
+RANGE = 1 << 16
+
+
+def _next_end(matches: DataFrame, partition: list[str]) -> DataFrame:
+    """(partition, of, next): of each end the least end of a match that starts after it, if any.
+
+    A minimum over later starts: over those in the end's range of positions, and over whole later ranges, of which there
+    are few, so that no partition is one task.
+    """
+    starts = matches.groupBy(*partition, "lo_pos").agg(F.min("hi_pos").alias("end")).withColumnRenamed("lo_pos", "at").withColumn("of", F.lit(None).cast("long"))
+    ends = matches.select(*partition, F.col("hi_pos").alias("at"), F.lit(None).cast("long").alias("end"), F.col("hi_pos").alias("of")).distinct()
+    marks = starts.unionByName(ends).withColumn("range", F.floor(F.col("at") / RANGE))
+    inside = Window.partitionBy(*partition, "range").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*partition).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = marks.groupBy(*partition, "range").agg(F.min("end").alias("least")).withColumn("beyond", F.min("least").over(after)).drop("least")
+    own = marks.withColumn("near", F.min("end").over(inside)).filter("of is not null").join(ranges, [*partition, "range"])
+    return own.select(*partition, "of", F.least("near", "beyond").alias("next")).filter("next is not null")
+
+
+def consume(matches: DataFrame, partition: list[str]) -> DataFrame:
     """Matches that remain if each event that completes one clears all partial matches of its partition.
 
-    After a trigger only matches that start later can complete, so the triggers are a chain: from
-    an end to the least end of a match that starts after it. The chain is followed by pointer
-    doubling: a round doubles the distance each end sees, so n triggers take log2(n) joins, not n steps.
+    With no partition, of all partitions (their events share one order of positions). After a trigger only matches that start later can
+    complete, so the triggers are a chain: from an end to the least end of a match that starts after
+    it. The chain is followed by pointer doubling: a round doubles the distance each end sees, so n triggers
+    take log2(n) joins, not n steps. Each round is written out, which cuts its lineage.
     """
-    ends = matches.groupBy(*partition, "hi_pos").agg(F.max("lo_pos").alias("latest"))
-    # the least end of a match that starts after a position: a minimum over the later starts
-    starts = matches.groupBy(*partition, "lo_pos").agg(F.min("hi_pos").alias("end"))
-    marks = starts.select(*partition, F.col("lo_pos").alias("at"), "end", F.lit(None).cast("long").alias("of"))
-    marks = marks.unionByName(ends.select(*partition, F.col("hi_pos").alias("at"), F.lit(None).cast("long").alias("end"), F.col("hi_pos").alias("of")))
-    later = Window.partitionBy(*partition).orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    step = marks.withColumn("next", F.min("end").over(later)).filter("of is not null").select(*partition, "of", "next")
-    first = matches.groupBy(*partition).agg(F.min("hi_pos").alias("of"))
-    reached, jump = first, step.filter("next is not null")
-    for _ in range(doublings):
+    matches = write_out(matches, "consumed")
+    step = write_out(_next_end(matches, partition), "consume-step")
+    reached, jump = matches.groupBy(*partition).agg(F.min("hi_pos").alias("of")).filter("of is not null"), step
+    while True:
         fresh = reached.join(jump, [*partition, "of"]).select(*partition, F.col("next").alias("of"))
+        reached = write_out(reached.union(fresh).distinct(), "consume-reached")
         far = jump.select(*partition, F.col("of").alias("next"), F.col("next").alias("far"))
-        jump = jump.join(far, [*partition, "next"]).select(*partition, "of", F.col("far").alias("next"))
-        reached = reached.union(fresh).distinct()
+        jump = write_out(jump.join(far, [*partition, "next"]).select(*partition, "of", F.col("far").alias("next")), "consume-jump")
         if jump.isEmpty():
             break
-    cleared = F.lag("of").over(Window.partitionBy(*partition).orderBy("of"))
-    chain = reached.select(*partition, F.col("of").alias("hi_pos"), cleared.alias("cleared"))
-    kept = matches.join(chain, [*partition, "hi_pos"]).filter(F.col("cleared").isNull() | (F.col("lo_pos") > F.col("cleared")))
+    # the last round's jumps may still lead somewhere: every end that follows a reached one is reached
+    chain = reached.join(step, [*partition, "of"]).select(*partition, F.col("next").alias("hi_pos"), F.col("of").alias("cleared"))
+    first = matches.groupBy(*partition).agg(F.min("hi_pos").alias("hi_pos")).withColumn("cleared", F.lit(None).cast("long"))
+    kept = matches.join(chain.unionByName(first), [*partition, "hi_pos"]).filter(F.col("cleared").isNull() | (F.col("lo_pos") > F.col("cleared")))
     return kept.select(*matches.columns)
 
 
-def single_use(matches: DataFrame, partition: list[str]) -> DataFrame:
+def single_use(matches: DataFrame, partition: list[str], single: Column | None = None) -> DataFrame:
     """Matches such that no event is in two of them: in order of completion, each is kept if its events are still unused.
 
-    The order matters, so matches are folded one after the other; but only those whose spans overlap can
-    compete. A partition falls into runs of overlapping spans, and each run is folded by itself.
+    ``single``: an array of the positions that count (default: all of a match). A match that comes first at
+    all its events is kept, those that share one with it go, and so on until none is left; rounds
+    are written out. So no partition, however many of its matches overlap, is folded in one task.
+    """
+    order = F.struct("hi_pos", "ids")
+    left = matches.withColumn("_single", F.col("ids") if single is None else single).withColumn("_order", order).dropDuplicates([*partition, "hi_pos", "ids"])
+    left, kept = write_out(left, "single-left"), []
+    same = [*partition, "_order"]
+    while not left.isEmpty():
+        events = left.select(*partition, "_order", F.explode("_single").alias("_event"))
+        first = events.groupBy(*partition, "_event").agg(F.min("_order").alias("_first"))
+        behind = events.join(first, [*partition, "_event"]).filter(F.col("_order") != F.col("_first")).select(*same).distinct()
+        won = write_out(_without(left, behind, same), "single-kept")
+        used = won.select(*partition, F.explode("_single").alias("_event")).distinct()
+        gone = events.join(used, [*partition, "_event"], "left_semi").select(*same).union(won.select(*same)).distinct()
+        kept.append(won)
+        left = write_out(_without(left, gone, same), "single-left")
+    return reduce(DataFrame.unionByName, kept or [left]).drop("_single", "_order")
+
+
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys, null ones included, are not among ``gone``."""
+    out = gone.select(*(F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys)))
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_gone{i}")) for i, k in enumerate(keys)))
+    return rows.join(out, on, "left_anti")
+
+
+def first_final(matches: DataFrame, partition: list[str]) -> DataFrame:
+    """Matches that extend no other one: none whose events are the first ones of a longer list with the same first event stays beside it.
+
+    That is what remains if a run stops once it is complete.
     """
-    before = Window.partitionBy(*partition).orderBy("lo_pos", "hi_pos", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*partition).orderBy("lo_pos", "hi_pos", "ids").rowsBetween(Window.unboundedPreceding, 0)
-    runs = matches.withColumn("_reach", F.max("hi_pos").over(before)).withColumn("_run", F.sum((F.col("_reach").isNull() | (F.col("lo_pos") > F.col("_reach"))).cast("int")).over(upto)).drop("_reach")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_ids=frame["ids"].map(tuple)).sort_values(["hi_pos", "_ids"], kind="stable")
-        used: set[int] = set()
-        kept = []
-        for ids in frame["_ids"]:
-            free = used.isdisjoint(ids)
-            kept.append(free)
-            if free:
-                used.update(ids)
-        return frame[kept].drop(columns=["_ids", "_run"])
-
-    return runs.groupBy(*partition, "_run").applyInPandas(fold, matches.schema)
+    begun = matches.select(*(F.col(k).alias(f"_p{i}") for i, k in enumerate(partition)), F.col("lo_pos").alias("_lo"), F.col("ids").alias("_ids")).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(partition)] + [F.col("lo_pos") == F.col("_lo")]
+    shorter = (F.size("_ids") < F.size("ids")) & (F.slice("ids", F.lit(1), F.size("_ids")) == F.col("_ids"))
+    return matches.join(begun, reduce(Column.__and__, on) & shorter, "left_anti")
+
+
+def limit_input(events: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` events by position (0: none, None: all); positions are gapless from 0."""
+    return events if most is None else events.filter(F.col("pos") < most)
+
+
+def checked_runs(matches: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The matches, written out; an error if there are more than ``most``."""
+    matches = write_out(matches, "runs")
+    if (n := matches.count()) > most:
+        raise ValueError(f"{n} matches, more than {most}")
+    return matches

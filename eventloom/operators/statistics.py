@@ -23,7 +23,12 @@ def sliding_arrivals(events: DataFrame, window_us: int, partition: list[str]) ->
 
 
 def pair_selectivity(events: DataFrame, first: str, second: str, keys: list[str], condition: Column) -> DataFrame:
-    """Of the ordered pairs of two types that share the keys, the part that meets the condition (on l and r); 1 without pairs."""
+    """Of the ordered pairs of two types that share the keys, the part that meets the condition (on l and r); 1 without pairs.
+
+    Without keys it would compare all pairs, which is an error.
+    """
+    if not keys:
+        raise ValueError("name the keys that pairs share")
     l, r = events.filter(F.col("etype") == first).alias("l"), events.filter(F.col("etype") == second).alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     on = F.col("l.us") <= F.col("r.us")

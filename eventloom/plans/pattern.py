@@ -6,7 +6,7 @@ A pattern says what to find; ``eventloom.operators.matching`` turns it into Data
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 
@@ -132,7 +132,9 @@ class Pattern:
     """A structure with a condition over its aliases, a window, and the attributes that all events of a match share.
 
     order: ``time`` lets equal timestamps follow each other in either input order;
-    ``position`` asks for strictly increasing input positions.
+    ``position`` asks for strictly increasing input positions. A condition that is unknown, since an
+    alternative has no event of some alias, keeps the match. selection: ``single`` leaves each event of a partition
+    in one match, in order of completion; ``next`` does so at every node where parts are joined.
     """
 
     structure: Part
@@ -142,11 +144,14 @@ class Pattern:
     order: str = "time"
     confidence: float | None = None
     name: str = "pattern"
+    selection: str = "any"
     settings: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if isinstance(self.structure, Not):
             raise ValueError("a pattern can't be only what must be absent")
+        if self.selection not in ("any", "single", "next"):
+            raise ValueError(f"unknown selection {self.selection!r}")
         if not isinstance(self.structure, Or):
             names = self.structure.aliases()
             own = [a for p in getattr(self.structure, "parts", ()) if not isinstance(p, Or) for a in p.aliases()]
@@ -154,5 +159,26 @@ class Pattern:
                 raise ValueError(f"aliases must differ: {names}")
 
 
+def sub_pattern(pattern: Pattern, names: set[str]) -> Pattern:
+    """The pattern on the parts that bind some of ``names``, with all else as it is; an error if none does."""
+
+    def kept(part: Part) -> Part | None:
+        if isinstance(part, _Many):
+            parts = [x for p in part.parts if (x := kept(p)) is not None]
+            if not any(not isinstance(p, Not) for p in parts):
+                return None
+            if len(parts) == 1:
+                return parts[0]
+            return Seq(*parts, gap=part.gap) if isinstance(part, Seq) else type(part)(*parts)
+        if isinstance(part, Not):
+            return None if kept(part.part) is None else part
+        return part if names & set(part.aliases()) else None
+
+    structure = kept(pattern.structure)
+    if structure is None:
+        raise ValueError(f"no part binds any of {sorted(names)}")
+    return replace(pattern, structure=structure)
+
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
