@@ -103,10 +103,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", row_id: str = "doc_id", source: str = "source", key: Column | None = None) -> DataFrame:
     """How often a mixture takes each row of ``docs``, so that every source nears its target of words.
 
-    Returns a row for each row of ``docs``: the id, ``row_key`` (a hash of id and text), ``source``, ``size`` (words),
+    Returns a row for each row of ``docs``: the id, ``row_key`` (``key``, or a hash of id and text), ``source``, ``size`` (words),
     ``source_size``, ``target`` and ``times`` (0 to ceil(most)). A source's rate is
     target / source_size: its whole part is taken of every row, the rest is each row's
     chance in a balanced sample, which keeps the totals of words and of rows.
@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
             F.col(row_id).alias("id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
-            row_key(text, row_id).alias("row_key"),
+            (row_key(text, row_id) if key is None else key).alias("row_key"),
         ).withColumn("order", F.xxhash64("row_key", F.lit(6))),
         "mix-rows",
     )

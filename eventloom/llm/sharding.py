@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import partitions, write_out
+from .scratch import write_out
 
 #: A group of more than 1 / (shards * LARGE) of all bytes is dealt by itself; there are at most shards * LARGE of them.
 LARGE = 128
-#: Each block's other groups are packed into so many bundles.
-BUNDLES = 32
-#: Groups that a task differences at once, and blocks at most: they bound a task's and the driver's work.
-RUN, MOST_BLOCKS = 20_000, 1024
+#: A block holds about so many of the other items and packs them into so many bundles, which are the items of the next round.
+BLOCK, BUNDLES = 20_000, 32
+#: Bundles that the last differencing takes at most, besides the large groups.
+LAST = 16_384
+#: Rows of a shard that a task numbers, about.
+NUMBERED = 50_000
 
 
 def differencing(sizes: list[int], ways: int) -> tuple[list[int], list[int]]:
@@ -53,26 +53,11 @@ def differencing(sizes: list[int], ways: int) -> tuple[list[int], list[int]]:
     return way[: len(sizes)], [x for x, _ in ways_left]
 
 
-def _bundle(block_of: str):
-    """Of each partition's (key, bytes), in runs, the bundle each key goes to."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, list[int]] = {}
-        for frame in frames:
-            for block, own in frame.groupby(block_of, sort=True):
-                so_far = totals.setdefault(int(block), [0] * BUNDLES)
-                for at in range(0, len(own), RUN):
-                    part = own.iloc[at : at + RUN]
-                    way, sums = differencing(part["bytes"].tolist(), BUNDLES)
-                    # the run's partial partition meets the block's one oppositely ordered
-                    full = sorted(range(BUNDLES), key=lambda w: (sums[w], w))
-                    free = sorted(range(BUNDLES), key=lambda w: (-so_far[w], w))
-                    to = dict(zip(full, free))
-                    for w in range(BUNDLES):
-                        so_far[to[w]] += sums[w]
-                    yield pd.DataFrame({"key": part["key"], "bytes": part["bytes"], "block": int(block), "bundle": [to[w] for w in way]})
-
-    return run
+def _bundle(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's (item, bytes), the bundle each item goes to."""
+    frame = frame.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
+    way, _ = differencing(frame["bytes"].tolist(), BUNDLES)
+    return pd.DataFrame({"item": frame["item"], "bytes": frame["bytes"], "into": frame["block"] * BUNDLES + way})
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -83,14 +68,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id:
 
     Groups (equal texts, told by SHA-256) are indivisible. Those above 1 / (128 * shards)
     of all bytes, at most 128 * shards of them, are items of their own. All others are
-    dealt into blocks by key; a task differences its block in runs of 20,000 groups into
-    32 bundles. The last differencing takes the large groups and at most
-    1024 * 32 bundles, whatever the input's size. One group larger than a shard's
+    dealt into blocks of about 20,000 by key; a task differences a block into
+    32 bundles, which are dealt and differenced again while there are more than 16,384. The last
+    differencing takes these and the large groups, whatever the input's size. One group larger than a shard's
     fair share gets a shard that holds little else; it is never split.
 
     Null and empty texts count as the same empty text (size 1, checksum 0). Null, repeated and tied
     ids keep one row each. An empty table gives an empty table. Only the id and text
-    columns are read, so other columns' names can't clash. Reruns agree.
+    columns are read, so other columns' names can't clash. Reruns agree on the shard, whatever the partitions, and on the slot of
+    rows with an id; slots among rows of one id and text are arbitrary.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -108,35 +94,38 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id:
     cut = total // (shards * LARGE)
     large = groups.filter(F.col("bytes") > cut).orderBy(F.desc("bytes"), "key").collect()  # fewer than shards * LARGE
 
-    blocks = max(1, min(partitions(spark), MOST_BLOCKS))
-    bundled = write_out(
-        groups.filter(F.col("bytes") <= cut)
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        .repartition(blocks, "block")
-        .sortWithinPartitions("block", F.desc("bytes"), "key")
-        .mapInPandas(_bundle("block"), "key binary, bytes long, block int, bundle int"),
-        "shard-bundles",
-    )
-    bundles = bundled.groupBy("block", "bundle").agg(F.sum("bytes").alias("bytes")).orderBy("block", "bundle").collect()
+    items, steps = groups.filter(F.col("bytes") <= cut).select(F.xxhash64("key").alias("item"), "bytes").groupBy("item").agg(F.sum("bytes").alias("bytes")), []
+    while True:
+        blocks = -(-items.count() // BLOCK) or 1
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(len(steps))), F.lit(blocks)))
+        steps.append(write_out(dealt.groupBy("block").applyInPandas(_bundle, "item long, bytes long, into long"), "shard-bundles"))
+        items = steps[-1].groupBy(F.col("into").alias("item")).agg(F.sum("bytes").alias("bytes"))
+        if blocks * BUNDLES <= LAST:
+            break
+    bundles = items.orderBy("item").collect()
     way, _ = differencing([r["bytes"] for r in large] + [r["bytes"] for r in bundles], shards)
     of_large = spark.createDataFrame([(r["key"], w) for r, w in zip(large, way)], "key binary, shard int")
-    of_bundle = spark.createDataFrame([(r["block"], r["bundle"], w) for r, w in zip(bundles, way[len(large) :])], "block int, bundle int, shard int")
+    of_bundle = spark.createDataFrame([(r["item"], w) for r, w in zip(bundles, way[len(large) :])], "into long, shard int")
 
     # Rows of large groups never enter the shuffled join, so no key is hot there. Both lists have fixed bounds.
     own = rows.join(F.broadcast(of_large), "key", "left")
-    small = bundled.join(F.broadcast(of_bundle), ["block", "bundle"]).select("key", "shard")
-    dealt = own.filter("shard is not null").unionByName(own.filter("shard is null").drop("shard").join(small, "key"))
-    return number_slots(dealt, shards).select(F.col("id").alias(row_id), "size", "text_crc32", "shard", "slot")
+    small = F.broadcast(of_bundle)
+    for step in reversed(steps):
+        small = step.join(small, "into").select(F.col("item").alias("into"), "shard")
+    small = small.withColumnRenamed("into", "item")
+    open_ = own.filter("shard is null").drop("shard").withColumn("item", F.xxhash64("key")).join(small, "item").drop("item")
+    dealt = own.filter("shard is not null").unionByName(open_)
+    return number_slots(dealt, rows.count()).select(F.col("id").alias(row_id), "size", "text_crc32", "shard", "slot")
 
 
-def number_slots(dealt: DataFrame, shards: int) -> DataFrame:
-    """Add ``slot``, gapless from 0 in each shard, without a shard in one task.
+def number_slots(dealt: DataFrame, n: int) -> DataFrame:
+    """Add ``slot``, gapless from 0 in each shard, to about n rows, without a shard in one task.
 
-    Rows are numbered inside (shard, bucket); a bucket starts where the buckets before it
-    end. The table of starts has shards * buckets rows.
+    Rows are numbered inside (shard, bucket); a bucket, told by a hash of id and text, starts where the buckets before it
+    end. Rows without an id spread by their partition. The starts, a row for each bucket, are few.
     """
-    buckets = max(1, min(partitions(dealt.sparkSession), MOST_BLOCKS))
-    dealt = write_out(dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "key", F.spark_partition_id()), F.lit(buckets)).cast("int")), "shard-dealt")
+    spread = F.when(F.col("id").isNull(), F.spark_partition_id()).otherwise(F.lit(0))
+    dealt = write_out(dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "key", spread), F.lit(n // NUMBERED + 1))), "shard-dealt")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "bucket").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "key")

@@ -12,16 +12,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .texts import Chunk, chunks
 
 ORDER, DECAY = 3, 0.6
-#: Letters of a candidate string that one kernel value sees; a longer string is seen in overlapping windows.
-SPAN = 20
-#: Labelled rows that training reads at most, picked by a hash of their id.
-TRAINING_ROWS = 5000
+#: Letters of a candidate string that one kernel value sees; a longer string is seen in windows that begin so many letters apart.
+SPAN, STRIDE = 20, 4
+#: Labelled rows that training reads at most, in the order of a hash of their id, and bytes of their texts.
+TRAINING_ROWS, TRAINING_BYTES = 5000, 64 << 20
 #: Of these, texts labelled 1 and texts labelled 0 whose sentences the machine learns from; all of them count for the landmarks.
 TOXIC_TEXTS, OTHER_TEXTS = 600, 1500
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, ROUNDS = 80, 6, 3
@@ -40,7 +40,7 @@ def pieces(word: str) -> list[str]:
     own = letters(word)
     if len(own) <= SPAN:
         return [own]
-    return [own[i : i + SPAN] for i in range(0, len(own) - SPAN // 2, SPAN // 2)]
+    return [own[i : i + SPAN] for i in range(0, len(own) - SPAN + STRIDE, STRIDE)]
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -358,16 +358,16 @@ def _chunk_margins(chunk: Chunk, model: Model, seen: dict[int, float], collapsed
     return best
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) to every row: the calibrated highest margin of its whole text's candidate strings.
+def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
+    """Add ``score`` (0 to 1, under any name) to every row: the calibrated highest margin of its whole text's candidate strings.
 
     A narrow pass without shuffles; the model is some kilobytes. Scores of words are kept by a
     Python worker, 1,048,576 at most. Null and empty texts score as texts without candidates. Repeated rows score
-    alike. Without a model every score is 0. A column score of ``docs`` is replaced. An empty table gives an empty table.
+    alike. Without a model every score is 0. A column of that name is replaced. An empty table gives an empty table.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in docs.columns if c != score]
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(0.0).alias(score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.name not in _seen:
@@ -376,9 +376,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text") ->
         for batch in batches:
             margins = [_chunk_margins(c, model, seen, collapsed) for c in chunks(batch.column(keep.index(text)))]
             scores = model.chance(np.concatenate(margins) if margins else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*keep, score])
 
-    return docs.select(*keep).mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
+    return docs.select(*keep).mapInArrow(run, docs.select(*keep, F.lit(0.0).alias(score)).schema)
 
 
 def held_out(row_id: str = "doc_id"):
@@ -386,12 +386,18 @@ def held_out(row_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(row_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, text: str = "text", row_id: str = "doc_id") -> Model | None:
-    """Train on at most ``rows`` labelled rows outside the held-out part, picked by a hash of their id.
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, text: str = "text", row_id: str = "doc_id") -> Model | None:
+    """Train on at most ``rows`` labelled rows outside the held-out part, and ``most_bytes`` of their texts, in the order of a hash of their id.
 
     Rows with a null label, or whose id ``docs`` lacks, don't count. The picked ids (a bounded
-    list) go to the documents, so texts are not shuffled.
+    list) go to the documents, so texts are not shuffled; texts that would exceed the bytes are left out.
     """
-    picked = labels.filter(~held_out(row_id) & F.col("toxic").isNotNull() & F.col(row_id).isNotNull()).select(row_id, "toxic").distinct().orderBy(F.xxhash64(row_id), "toxic").limit(rows)
-    found = docs.select(row_id, text).join(F.broadcast(picked), row_id).select(row_id, text, "toxic").collect()
-    return train([(r[text], r["toxic"]) for r in sorted(found, key=lambda r: (r[row_id], r["toxic"], r[text] or ""))])
+    order = F.xxhash64(F.col(row_id)).alias("_order")
+    picked = labels.filter(~held_out(row_id) & F.col("toxic").isNotNull() & F.col(row_id).isNotNull()).select(row_id, "toxic").distinct().withColumn("_order", order).orderBy("_order", "toxic").limit(rows)
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(F.col(row_id), body.alias("_body")).join(F.broadcast(picked), row_id)
+    by = Window.orderBy("_order", "toxic", "_key")  # over the picked rows, without their texts
+    sizes = found.select(row_id, "toxic", "_order", F.xxhash64("_body").alias("_key"), F.octet_length("_body").alias("_bytes")).orderBy("_order", "toxic", "_key").limit(rows)
+    fitting = sizes.withColumn("_sum", F.sum("_bytes").over(by)).filter(F.col("_sum") <= most_bytes).select(row_id, "toxic", F.col("_key"))
+    taken = found.withColumn("_key", F.xxhash64("_body")).join(F.broadcast(fitting.distinct()), [row_id, "toxic", "_key"]).orderBy("_order", "toxic", "_key").limit(rows).collect()
+    return train([(r["_body"], r["toxic"]) for r in taken])
