@@ -12,14 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import remove, write_out
 from .texts import Chunk, chunks
 
-#: Rows that training reads at most: labelled ones, and unlabelled ones that receive pseudo-labels.
-LABELLED_ROWS, UNLABELLED_ROWS = 6000, 4000
-ROUNDS, PSEUDO_LABELS = 4, 200
+#: Labelled rows that training reads at most.
+LABELLED_ROWS = 6000
+#: Rounds, each of which looks at every unlabelled row, and the rows that a view labels in each: the surest of either class.
+ROUNDS, PSEUDO_LABELS = 2, 400
 #: A view hands over rows of which it is at least so sure.
 CONFIDENT = 0.9
-SLOTS = 64
+#: Slots for hashed values of a metadata column, and for hashed words.
+SLOTS, WORD_SLOTS = 64, 256
 
 _SHAPES = 7
 _SHAPE = np.full(256, 5, np.uint8)  # other signs
@@ -29,31 +32,32 @@ _SHAPE[48:58] = 2
 _SHAPE[[9, 11, 12, 13, 32]] = 3
 _SHAPE[10] = 4
 _SHAPE[list(b".,;:!?'\"()-")] = 6
-TEXT_FEATURES = _SHAPES**2 + 6
+TEXT_FEATURES = WORD_SLOTS + _SHAPES**2 + 3
 META_FEATURES = 2 * SLOTS + 12
 
 
 def text_features(chunk: Chunk) -> np.ndarray:
-    """Of each row: shares of pairs of neighbouring character shapes, and how words repeat and how long they are."""
+    """Of each row: shares of its words by hash, of pairs of neighbouring character shapes, and how words repeat; nothing of its length."""
     n = chunk.n_rows
     shape = _SHAPE[chunk.data].astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(chunk.bounds))
     out = np.zeros((n, TEXT_FEATURES))
+    shared = lambda counts: np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     if len(shape) > 1:
         inside = row[1:] == row[:-1]
         pair = (row[:-1] * _SHAPES**2 + shape[:-1] * _SHAPES + shape[1:])[inside]
-        counts = np.bincount(pair, minlength=n * _SHAPES**2).reshape(n, -1)
-        out[:, : _SHAPES**2] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        out[:, WORD_SLOTS:-3] = shared(np.bincount(pair, minlength=n * _SHAPES**2).reshape(n, -1))
     chunk.words()
     words = np.maximum(chunk.n_words, 1)
     if len(chunk.starts):
         hashes = chunk.hashes(chunk.starts, chunk.ends, lower=True)
+        slot = (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
+        out[:, :WORD_SLOTS] = shared(np.bincount(chunk.row * WORD_SLOTS + slot, minlength=n * WORD_SLOTS).reshape(n, -1))
         same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (chunk.row[1:] == chunk.row[:-1])))
         length = np.bincount(chunk.row, chunk.ends - chunk.starts, minlength=n) / words
         key = hashes ^ (chunk.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         distinct = np.bincount(chunk.row[np.unique(key, return_index=True)[1]], minlength=n) / words
-        own = np.log1p(chunk.n_words)
-        out[:, -6:] = np.stack([length / 10, distinct, np.bincount(chunk.row[same], minlength=n) / words, own / 10, (own / 10) ** 2, chunk.n_words < 20], 1)
+        out[:, -3:] = np.stack([length / 10, distinct, np.bincount(chunk.row[same], minlength=n) / words], 1)
     return out
 
 
@@ -101,84 +105,119 @@ class Views(NamedTuple):
         return _sure(text, self.text), _sure(meta, self.meta), _sure(np.clip(odds, -12, 12), self.combine)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray) -> Views | None:
-    """Blum and Mitchell (1998): both views learn from the labels, then from each other's surest guesses.
+class Taught:
+    """The rows that both views learn from: features, and each view's own labels (-1 for none)."""
 
-    label: 1, 0, or -1 for none. fold: rows kept aside to calibrate and combine the views. None if the
-    labels that remain are all alike.
-    """
-    y = {"text": label.copy(), "meta": label.copy()}
-    x = {"text": text, "meta": meta}
-    learn = ~fold
-    weights: dict[str, np.ndarray] = {}
-    for step in range(ROUNDS + 1):
-        for view in x:
-            known = learn & (y[view] >= 0)
-            if len(np.unique(y[view][known])) < 2:
-                return None
-            weights[view] = _logistic(x[view][known], y[view][known].astype(float))
-        if step == ROUNDS:
-            break
-        for view, other in (("text", "meta"), ("meta", "text")):
-            open_ = np.flatnonzero(learn & (y[other] < 0))
-            p = _sure(x[view][open_], weights[view])
-            for value, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:PSEUDO_LABELS]
-                best = best[sure[best] >= CONFIDENT]
-                y[other][open_[best]] = value
-    known = fold & (label >= 0)
-    if len(np.unique(label[known])) < 2:
-        known = label >= 0
-    odds = np.stack([x[v][known] @ weights[v][:-1] + weights[v][-1] for v in x], 1)
-    return Views(weights["text"], weights["meta"], _logistic(np.clip(odds, -12, 12), label[known].astype(float), ridge=1.0))
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> None:
+        self.x, self.y = {"text": text, "meta": meta}, {"text": label.copy(), "meta": label.copy()}
+
+    def add(self, text: np.ndarray, meta: np.ndarray, for_text: np.ndarray, for_meta: np.ndarray) -> None:
+        """Rows with the labels that each view gets from the other."""
+        for view, rows, labels in (("text", text, for_text), ("meta", meta, for_meta)):
+            self.x[view], self.y[view] = np.vstack([self.x[view], rows]), np.concatenate([self.y[view], labels])
+
+    def weights(self, view: str) -> np.ndarray | None:
+        """None if the view's labels are all alike."""
+        known = self.y[view] >= 0
+        return _logistic(self.x[view][known], self.y[view][known].astype(float)) if len(np.unique(self.y[view][known])) == 2 else None
 
 
 _META = ["lang", "source", "n_chars"]
 
 
-def featurize(docs: DataFrame, row_id: str, text: str, extra: list[str]) -> DataFrame:
-    """(extra columns, text view, metadata view) of every row; texts stay on the executors."""
-    columns = [*extra, text, *_META]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def _rows(docs: DataFrame, row_id: str, text: str, *extra: Column) -> DataFrame:
+    """Just the columns that are read, under names of their own: _id, _text, the metadata, then the extra ones."""
+    return docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"), *_META, *extra)
+
+
+def _featured(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    view = [text_features(c) for c in chunks(batch.column(1))]
+    return np.concatenate(view) if view else np.zeros((0, TEXT_FEATURES)), meta_features(batch.select(_META).to_pandas())
+
+
+def _collected(rows: DataFrame, *extra: str) -> pd.DataFrame:
+    """Both views of a bounded number of rows (of ``_rows``), on the driver, in the order of their ids; texts stay on the executors."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kept = ["_id", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = [text_features(c) for c in chunks(batch.column(len(extra)))]
-            view = np.concatenate(view) if view else np.zeros((0, TEXT_FEATURES))
-            meta = meta_features(batch.select(_META).to_pandas())
-            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (view, meta)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *lists], names=[*extra, "text_view", "meta_view"])
+            lists = [pa.array(list(v), pa.list_(pa.float64())) for v in _featured(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *lists], names=[*kept, "text", "meta"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in extra), "text_view array<double>", "meta_view array<double>"])
-    return docs.select(*columns).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text array<double>", "meta array<double>"])
+    return rows.mapInArrow(run, schema).toPandas().sort_values(kept, kind="stable")
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS, text: str = "text", row_id: str = "doc_id") -> Views | None:
-    """Co-train on at most ``labelled`` labelled and ``unlabelled`` other rows, picked by a hash of their id.
+def _surest(rows: DataFrame, weights: dict[str, np.ndarray], most: int) -> DataFrame:
+    """(view, value, id) of the rows that each view is surest to be good or bad: of each batch the first ``most``, then of all."""
+    id_type = rows.schema["_id"].dataType.simpleString()
 
-    Rows of ``held_out`` never take part. Of the labelled ones, a fifth (by the hash) calibrates.
-    Picked ids, bounded lists, go to the documents; only features reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for view, x in zip(("text", "meta"), _featured(batch)):
+                p = _sure(x, weights[view])
+                for value, sure in ((1, p), (0, 1 - p)):
+                    best = np.lexsort((np.array(batch.column(5)), -sure))[:most]
+                    best = best[sure[best] >= CONFIDENT]
+                    yield pa.RecordBatch.from_arrays([pa.array([view] * len(best), pa.string()), pa.array(np.full(len(best), value, np.int32)), pa.array(sure[best]), batch.column(5).take(pa.array(best)), ids.take(pa.array(best))], names=["view", "value", "sure", "place", "id"])
+
+    found = write_out(rows.mapInArrow(run, f"view string, value int, sure double, place long, id {id_type}"), "quality-sure")
+    parts = [found.filter((F.col("view") == v) & (F.col("value") == y)).orderBy(F.desc("sure"), "place", "id").limit(most) for v in ("text", "meta") for y in (0, 1)]
+    picked = write_out(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "quality-picked")
+    remove(found)
+    return picked
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, labelled: int = LABELLED_ROWS, pseudo: int = PSEUDO_LABELS, text: str = "text", row_id: str = "doc_id") -> Views | None:
+    """Blum and Mitchell (1998): both views learn from the labels, then from each other's surest guesses about all unlabelled rows.
+
+    At most ``labelled`` rows teach, picked by a hash of their id; a fifth of them (by the hash) is kept aside to calibrate and
+    combine the views. In each round every other row of ``docs`` is scored on the executors, and each view hands the
+    ``pseudo`` surest ones of either class to the other view; only the features of these rows reach the driver. An id with several
+    labels counts as good if one says so. Rows of ``held_out`` never take part, nor do null ids.
+    None if the labels are all alike.
     """
     if held_out is not None:
-        labels = labels.filter(~held_out)
-        docs = docs.filter(~held_out)
-    place = F.xxhash64(row_id, F.lit(8))
-    known = labels.filter(F.col(row_id).isNotNull() & F.col("quality").isNotNull()).groupBy(row_id).agg(F.max("quality").alias("label"))
-    picked = known.orderBy(F.xxhash64(row_id), row_id).limit(labelled)
-    others = docs.filter(F.col(row_id).isNotNull()).select(row_id).join(known, row_id, "left_anti").orderBy(F.xxhash64(row_id), row_id).limit(unlabelled)
-    wanted = picked.union(others.withColumn("label", F.lit(-1)))
-    rows = docs.join(F.broadcast(wanted), row_id).withColumn("fold", F.pmod(place, F.lit(5)) == 0)
-    frame = featurize(rows, row_id, text, [row_id, "label", "fold"]).toPandas().sort_values(row_id, kind="stable")
+        labels, docs = labels.filter(~held_out), docs.filter(~held_out)
+    docs = docs.filter(F.col(row_id).isNotNull())
+    known = labels.filter(F.col(row_id).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(row_id).alias("_known")).agg(F.max("quality").cast("int").alias("_label"))
+    picked = F.broadcast(known.orderBy(F.xxhash64("_known"), "_known").limit(labelled))
+    aside = (F.pmod(F.xxhash64("_known", F.lit(8)), F.lit(5)) == 0).alias("_fold")
+    frame = _collected(_rows(docs.join(picked, F.col(row_id) == F.col("_known")), row_id, text, F.col("_label"), aside), "_label", "_fold")
     if not len(frame):
         return None
-    return co_train(np.stack(frame["text_view"]), np.stack(frame["meta_view"]), frame["label"].to_numpy(int), frame["fold"].to_numpy(bool))
+    fold, label = frame["_fold"].to_numpy(bool), frame["_label"].to_numpy(int)
+    views = {v: np.stack(frame[v]) for v in ("text", "meta")}
+    taught = Taught(views["text"][~fold], views["meta"][~fold], label[~fold])
+    place = F.xxhash64(F.col(row_id), F.lit(8)).alias("_place")
+    open_ = docs.join(known, F.col(row_id) == F.col("_known"), "left_anti")
+    for step in range(ROUNDS + 1):
+        weights = {v: taught.weights(v) for v in views}
+        if any(w is None for w in weights.values()):
+            return None
+        if step == ROUNDS:
+            break
+        sure = _surest(_rows(open_, row_id, text, place), weights, pseudo)
+        guesses = sure.groupBy("id").pivot("view", ["text", "meta"]).agg(F.max("value"))  # at most four times pseudo rows
+        guesses = guesses.select(F.col("id").alias("_guessed"), *(F.coalesce(v, F.lit(-1)).alias(f"_by_{v}") for v in views))
+        new = _collected(_rows(open_.join(F.broadcast(guesses), F.col(row_id) == F.col("_guessed")), row_id, text, F.col("_by_text"), F.col("_by_meta")).limit(8 * pseudo), "_by_text", "_by_meta")
+        new = new.drop_duplicates("_id")
+        open_ = open_.join(F.broadcast(guesses.select("_guessed")), F.col(row_id) == F.col("_guessed"), "left_anti")
+        if not len(new):
+            break
+        taught.add(np.stack(new["text"]), np.stack(new["meta"]), new["_by_meta"].to_numpy(int), new["_by_text"].to_numpy(int))
+    kept = fold if len(np.unique(label[fold])) == 2 else np.ones(len(label), bool)
+    odds = np.stack([views[v][kept] @ weights[v][:-1] + weights[v][-1] for v in views], 1)
+    return Views(weights["text"], weights["meta"], _logistic(np.clip(odds, -12, 12), label[kept].astype(float), ridge=1.0))
 
 
 def score_quality(docs: DataFrame, views: Views | None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The id, both views' scores and their calibrated combination ``score`` (0 to 1, high is good) of every row.
 
     A narrow pass without shuffles over whole texts. Null texts count as empty, null metadata as
-    a value of its own, and missing lengths as 0. Repeated rows score alike. Without a model all scores are 1, so that
+    a value of its own, and missing lengths as 0. Repeated rows score alike. Other columns are not read. Without a model all scores are 1, so that
     nothing is rejected. An empty table gives an empty table.
     """
     if views is None:
@@ -189,8 +228,7 @@ def score_quality(docs: DataFrame, views: Views | None, text: str = "text", row_
         for batch in batches:
             meta = meta_features(batch.select(_META).to_pandas())
             for c in chunks(batch.column(1)):
-                at = slice(c.first_row, c.first_row + c.n_rows)
-                scores = views.scores(text_features(c), meta[at])
+                scores = views.scores(text_features(c), meta[c.first_row : c.first_row + c.n_rows])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first_row, c.n_rows), *map(pa.array, scores)], names=[row_id, "text_score", "meta_score", "score"])
 
-    return docs.select(row_id, text, *_META).mapInArrow(run, f"`{row_id}` {id_type}, text_score double, meta_score double, score double")
+    return _rows(docs, row_id, text).mapInArrow(run, f"`{row_id}` {id_type}, text_score double, meta_score double, score double")

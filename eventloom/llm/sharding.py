@@ -13,8 +13,9 @@ from .scratch import write_out
 LARGE = 128
 #: A block holds about so many of the other items and packs them into so many bundles, which are the items of the next round.
 BLOCK, BUNDLES = 20_000, 32
-#: Bundles that the last differencing takes at most, besides the large groups.
-LAST = 16_384
+#: Bundles that the last differencing takes at most, besides the large groups and about so many to twice as many others,
+#: picked by a hash, that even out what bundles of equal size can't.
+LAST, LOOSE = 16_384, 4_096
 #: Rows of a shard that a task numbers, about.
 NUMBERED = 50_000
 
@@ -70,7 +71,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id:
     of all bytes, at most 128 * shards of them, are items of their own. All others are
     dealt into blocks of about 20,000 by key; a task differences a block into
     32 bundles, which are dealt and differenced again while there are more than 16,384. The last
-    differencing takes these and the large groups, whatever the input's size. One group larger than a shard's
+    differencing takes these, the large groups and some thousand others, whatever the input's size. One group larger than a shard's
     fair share gets a shard that holds little else; it is never split.
 
     Null and empty texts count as the same empty text (size 1, checksum 0). Null, repeated and tied
@@ -94,7 +95,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id:
     cut = total // (shards * LARGE)
     large = groups.filter(F.col("bytes") > cut).orderBy(F.desc("bytes"), "key").collect()  # fewer than shards * LARGE
 
-    items, steps = groups.filter(F.col("bytes") <= cut).select(F.xxhash64("key").alias("item"), "bytes").groupBy("item").agg(F.sum("bytes").alias("bytes")), []
+    others = write_out(groups.filter(F.col("bytes") <= cut).groupBy(F.xxhash64("key").alias("item")).agg(F.sum("bytes").alias("bytes")), "shard-items")
+    is_loose = F.pmod(F.xxhash64("item", F.lit(-1)), F.lit(max(1, others.count() // LOOSE))) == 0
+    loose = others.filter(is_loose).orderBy("item").collect()
+    items, steps = others.filter(~is_loose), []
     while True:
         blocks = -(-items.count() // BLOCK) or 1
         dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(len(steps))), F.lit(blocks)))
@@ -103,16 +107,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", row_id:
         if blocks * BUNDLES <= LAST:
             break
     bundles = items.orderBy("item").collect()
-    way, _ = differencing([r["bytes"] for r in large] + [r["bytes"] for r in bundles], shards)
+    way, _ = differencing([r["bytes"] for r in [*large, *loose, *bundles]], shards)
     of_large = spark.createDataFrame([(r["key"], w) for r, w in zip(large, way)], "key binary, shard int")
-    of_bundle = spark.createDataFrame([(r["item"], w) for r, w in zip(bundles, way[len(large) :])], "into long, shard int")
+    of_loose = spark.createDataFrame([(r["item"], w) for r, w in zip(loose, way[len(large) :])], "item long, shard int")
+    of_bundle = spark.createDataFrame([(r["item"], w) for r, w in zip(bundles, way[len(large) + len(loose) :])], "into long, shard int")
 
     # Rows of large groups never enter the shuffled join, so no key is hot there. Both lists have fixed bounds.
     own = rows.join(F.broadcast(of_large), "key", "left")
     small = F.broadcast(of_bundle)
     for step in reversed(steps):
         small = step.join(small, "into").select(F.col("item").alias("into"), "shard")
-    small = small.withColumnRenamed("into", "item")
+    small = small.withColumnRenamed("into", "item").union(of_loose)
     open_ = own.filter("shard is null").drop("shard").withColumn("item", F.xxhash64("key")).join(small, "item").drop("item")
     dealt = own.filter("shard is not null").unionByName(open_)
     return number_slots(dealt, rows.count()).select(F.col("id").alias(row_id), "size", "text_crc32", "shard", "slot")
