@@ -98,7 +98,8 @@ def time_of(text: Column) -> Column:
 
 
 def _checked(rows: DataFrame, good: Column, what: str) -> DataFrame:
-    return rows.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), "value")).cast("boolean")))
+    """The rows; an error for one that isn't good. Rows whose line is null pass, whatever the order of filters."""
+    return rows.filter(F.when(good | F.col("value").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), "value")).cast("boolean")))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
