@@ -9,9 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules of either kind that may be sent to every executor; more are an error (a rule list isn't a corpus).
-MOST_RULES = 200_000
-
+from .rows import sent
 
 class Pattern(NamedTuple):
     """An action (block or allow) and a pattern over the lower-cased url.
@@ -87,11 +85,9 @@ def rarest_tokens(urls: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     A pattern without a whole token is filed under the empty token, which every url has.
     """
     spark = urls.sparkSession
-    if len(patterns) > MOST_RULES:
-        raise ValueError(f"{len(patterns)} rules; a rule list may have {MOST_RULES}")
     words = sorted({t for p in patterns for t in p.tokens})
     named = spark.createDataFrame([(w,) for w in words], "token string")
-    counts = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(named), "token").groupBy("token").count()
+    counts = urls.select(F.explode("tokens").alias("token")).join(sent(named), "token").groupBy("token").count()
     seen = {r["token"]: r["count"] for r in counts.collect()}  # at most one row for each of the rules' tokens
     index = [(min(p.tokens, key=lambda t: (seen.get(t, 0), t), default=""), p.action, p.regex) for p in patterns]
     return spark.createDataFrame(index, "token string, action string, regex string")
@@ -103,9 +99,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[HostRule], patterns: Sequence[
     The longest host rule that fits decides. Without one, a url is blocked if a block
     pattern fits and no allow pattern does. Patterns are indexed by their rarest literal token;
     a url's tokens fetch candidate patterns by an equality join, and a regular expression
-    runs on those candidates only. Rules are parameters (at most 200,000), so their side is
-    broadcast, and no shuffle has a token or host as its key: a host or token with a third of
-    all pages is no hot key. The urls that a pattern fits are folded per url and joined back
+    runs on those candidates only. Up to a million patterns are sent to every executor, so
+    no shuffle has a token as its key: one with a third of all pages is no hot key. More are joined by a shuffle. Host rules
+    are one expression and meant to be some hundreds. The urls that a pattern fits are folded per url and joined back
     by url, where a very frequent url can be split by adaptive execution.
 
     Null urls, empty ones and those without ``://`` have empty host and path; patterns still see
@@ -120,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[HostRule], patterns: Sequence[
 
     # The distinct urls that hold an index token, with the actions of the patterns that fit.
     tokens = F.explode(F.array_union(F.col("tokens"), F.array(F.lit(""))))
-    candidates = rows.select("lower", tokens.alias("token")).join(F.broadcast(index), "token")
+    candidates = rows.select("lower", tokens.alias("token")).join(sent(index), "token")
     fitting = candidates.filter(F.expr("lower rlike regex"))
     judged = fitting.groupBy("lower").agg(F.countDistinct("regex", "action").alias("patterns"), F.max((F.col("action") == "block")).alias("blocks"), F.max((F.col("action") == "allow")).alias("allows"))
     out = rows.join(judged, "lower", "left").withColumn("own", host_rule(F.col("host"), F.col("path"), rules))

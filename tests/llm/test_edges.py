@@ -229,3 +229,14 @@ def test_stages_keep_other_columns_and_odd_rows(spark, tmp_path):
             assert sum(len((r.text or "").split()) for r in out) == pytest.approx(1.5 * sum(len((t or "").split()) for _, t in rows), abs=90)
         if name == "sharding":
             assert len(out) == len(rows)
+
+
+def test_large_benchmarks_give_the_same(spark, monkeypatch):
+    from eventloom.llm import winnowing
+
+    rows = [(d, t) for d, t in edge_rows() if d is not None and d != 200]
+    bench = spark.createDataFrame([(1, rows[5][1]), (2, "alpha Beta"), (3, rows[-4][1])], "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in winnowing.decontaminate(make_docs(spark, rows), bench).collect())
+    few = found()
+    monkeypatch.setattr(winnowing, "SET_SIZE", 0)
+    assert found() == few and any(r[-1] for r in few)
