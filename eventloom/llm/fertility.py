@@ -31,14 +31,15 @@ class Band(NamedTuple):
 EVEN_TOKENS = 512
 #: By language, then by script for all others. Measured with a public vocabulary of 32,000 pieces on labelled prose, the lowest
 #: hundredth of the good texts lies at 2.07 characters a token in English, 2.12 in German, 1.84 in French, 1.80 in Spanish, and at an
-#: evenness of 0.72, 0.70, 0.70 and 0.69; none had a byte token. Words that end in signs, menus and repeated phrases lie below either.
+#: evenness of 0.72, 0.70, 0.70 and 0.69; none had a byte token. The bands begin a little below, so 8 in 1,000 good texts
+#: lie outside, and 9 in 10 of those labelled bad that pass the plainer rules. Words that end in signs, menus and repeated phrases lie below either.
 #: Ordinary prose reaches five characters a token; above 8 are pieces repeated like rulers. Scripts that
 #: the vocabulary lacks fall back to bytes by design, so their bands are wide.
 BANDS: Mapping[str, Band] = {
-    "en": Band((2.06, 8.0), 0.02, (0.715, 1.6)),
-    "de": Band((2.11, 8.0), 0.02, (0.700, 1.6)),
-    "fr": Band((1.83, 8.0), 0.02, (0.695, 1.6)),
-    "es": Band((1.80, 8.0), 0.02, (0.690, 1.6)),
+    "en": Band((2.03, 8.0), 0.02, (0.710, 1.6)),
+    "de": Band((2.10, 8.0), 0.02, (0.695, 1.6)),
+    "fr": Band((1.80, 8.0), 0.02, (0.690, 1.6)),
+    "es": Band((1.79, 8.0), 0.02, (0.685, 1.6)),
     "latin": Band((1.5, 8.0), 0.10, (0.65, 1.6)),
     "cyrillic": Band((1.0, 8.0), 0.15, (0.60, 1.6)),
     "greek": Band((0.6, 8.0), 0.60, (0.50, 1.6)),
