@@ -445,12 +445,12 @@ def consume_partition(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_RUNS}, nx AS (SELECT x.e, min(m.e) AS nxt FROM (SELECT DISTINCT e FROM m) x JOIN m ON m.s > x.e GROUP BY x.e),
 t(e) AS (SELECT min(e) FROM m UNION ALL SELECT nx.nxt FROM t JOIN nx ON nx.e = t.e), f AS (SELECT e, lag(e) OVER (ORDER BY e) AS p FROM t)
 SELECT {_OUT.replace('s AS', 'm.s AS').replace('(e AS', '(m.e AS')} FROM m JOIN f ON f.e = m.e AND (f.p IS NULL OR m.s > f.p)""")
-def ceql_consume_any(spark, sf_dir):
+def consume_any(spark, sf_dir):
     """Each completing event clears the partial matches of all users."""
     return selection.consume(_runs(spark, sf_dir), []).select(_ids().alias("ids"))
 
 
-SQL["srt_consume"] = SQL["ceql_consume_any"]
+SQL["srt_consume"] = SQL["consume_any"]
 
 
 @query(SQL["srt_consume"])
