@@ -42,19 +42,14 @@ class HostRule(NamedTuple):
     path: str
 
 
-#: Advertising, gambling and link-farm hosts and paths that public block lists name in this way.
+#: What public block lists name: advertising, gambling, adult and counterfeit goods, link farms, malware. A parameter; users bring their own.
 PATTERNS = [
-    Pattern("block", "-pills."),
-    Pattern("block", "/pills/"),
-    Pattern("block", "//spam-"),
-    Pattern("block", ".spam-"),
-    Pattern("block", "-casino."),
-    Pattern("block", "/casino/"),
-    Pattern("block", ".link-farm."),
-    Pattern("block", "/xxx/"),
-    Pattern("block", "/ads^*banner"),
-    Pattern("block", "&ad_id="),
-    Pattern("allow", "/abuse/report^"),
+    *(Pattern("block", p) for p in ("/ads^*banner", "&ad_id=", "/adserver/", "/adserv/", ".adserver.", "/banners/", "/popunder^", "/doubleclick/", ".doubleclick.", "/clicktracker^")),
+    *(Pattern("block", p) for p in ("-casino.", "/casino/", ".casino.", "/gambling/", "/betting-odds/", "/slots-online/", "/payday-loan^", "/payday-loans^")),
+    *(Pattern("block", p) for p in ("/xxx/", ".xxx.", "-porn.", "/porn/", "/porno/", "/escorts/", "/camgirls/")),
+    *(Pattern("block", p) for p in ("-pills.", "/pills/", "/viagra/", "/cialis/", "/replica-watches/", "/steroids-online/")),
+    *(Pattern("block", p) for p in ("//spam-", ".spam-", ".link-farm.", "/link-farm/", "/warez/", "/keygen/", "/cracked-software/", "/phishing-kit/")),
+    *(Pattern("allow", p) for p in ("/abuse/report^", "/spam-policy^", "/responsible-gambling^")),
 ]
 
 
