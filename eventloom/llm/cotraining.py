@@ -149,23 +149,29 @@ def _collected(rows: DataFrame, *extra: str) -> pd.DataFrame:
     return rows.mapInArrow(run, schema).toPandas().sort_values(kept, kind="stable")
 
 
-def _surest(rows: DataFrame, weights: dict[str, np.ndarray], most: int) -> DataFrame:
-    """(view, value, id) of the rows that each view is surest to be good or bad: of each batch the first ``most``, then of all."""
+def _surest(rows: DataFrame, known: DataFrame, weights: dict[str, np.ndarray], most: int) -> DataFrame:
+    """(view, value, id) of the ``most`` rows that each view is surest to be good, and to be bad, less those of ``known``.
+
+    Texts stay where they are read: a narrow pass gives an id and two chances for each row of which a view is sure, and only these meet the known ids.
+    """
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for view, x in zip(("text", "meta"), _featured(batch)):
-                p = _sure(x, weights[view])
-                for value, sure in ((1, p), (0, 1 - p)):
-                    best = np.lexsort((np.array(batch.column(5)), -sure))[:most]
-                    best = best[sure[best] >= CONFIDENT]
-                    yield pa.RecordBatch.from_arrays([pa.array([view] * len(best), pa.string()), pa.array(np.full(len(best), value, np.int32)), pa.array(sure[best]), batch.column(5).take(pa.array(best)), ids.take(pa.array(best))], names=["view", "value", "sure", "place", "id"])
-
-    found = write_out(rows.mapInArrow(run, f"view string, value int, sure double, place long, id {id_type}"), "quality-sure")
-    parts = [found.filter((F.col("view") == v) & (F.col("value") == y)).orderBy(F.desc("sure"), "place", "id").limit(most) for v in ("text", "meta") for y in (0, 1)]
-    picked = write_out(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "quality-picked")
+            chances = [_sure(x, weights[view]) for view, x in zip(("text", "meta"), _featured(batch))]
+            sure = pa.array(np.logical_or.reduce([(p >= CONFIDENT) | (p <= 1 - CONFIDENT) for p in chances]))
+            out = [batch.column(0), batch.column(5), *(pa.array(p) for p in chances)]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "place", "text", "meta"]).filter(sure)
+
+    scored = rows.mapInArrow(run, f"id {id_type}, place long, text double, meta double")
+    found = write_out(scored.join(known.select(F.col("_known")), F.col("id") == F.col("_known"), "left_anti"), "quality-sure")
+
+    def best(view: str, value: int) -> DataFrame:
+        chance = F.col(view) if value else 1 - F.col(view)
+        own = found.filter(chance >= CONFIDENT).orderBy(chance.desc(), "place", "id").limit(most)
+        return own.select(F.lit(view).alias("view"), F.lit(value).alias("value"), "id")
+
+    picked = write_out(best("text", 0).union(best("text", 1)).union(best("meta", 0)).union(best("meta", 1)), "quality-picked")
     remove(found)
     return picked
 
@@ -192,19 +198,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     views = {v: np.stack(frame[v]) for v in ("text", "meta")}
     taught = Taught(views["text"][~fold], views["meta"][~fold], label[~fold])
     place = F.xxhash64(F.col(row_id), F.lit(8)).alias("_place")
-    open_ = docs.join(known, F.col(row_id) == F.col("_known"), "left_anti")
     for step in range(ROUNDS + 1):
         weights = {v: taught.weights(v) for v in views}
         if any(w is None for w in weights.values()):
             return None
         if step == ROUNDS:
             break
-        sure = _surest(_rows(open_, row_id, text, place), weights, pseudo)
+        sure = _surest(_rows(docs, row_id, text, place), known, weights, pseudo)
         guesses = sure.groupBy("id").pivot("view", ["text", "meta"]).agg(F.max("value"))  # at most four times pseudo rows
         guesses = guesses.select(F.col("id").alias("_guessed"), *(F.coalesce(v, F.lit(-1)).alias(f"_by_{v}") for v in views))
-        new = _collected(_rows(open_.join(F.broadcast(guesses), F.col(row_id) == F.col("_guessed")), row_id, text, F.col("_by_text"), F.col("_by_meta")).limit(8 * pseudo), "_by_text", "_by_meta")
+        new = _collected(_rows(docs.join(F.broadcast(guesses), F.col(row_id) == F.col("_guessed")), row_id, text, F.col("_by_text"), F.col("_by_meta")).limit(8 * pseudo), "_by_text", "_by_meta")
         new = new.drop_duplicates("_id")
-        open_ = open_.join(F.broadcast(guesses.select("_guessed")), F.col(row_id) == F.col("_guessed"), "left_anti")
+        known = known.select("_known").union(guesses.select("_guessed"))
         if not len(new):
             break
         taught.add(np.stack(new["text"]), np.stack(new["meta"]), new["_by_meta"].to_numpy(int), new["_by_text"].to_numpy(int))
