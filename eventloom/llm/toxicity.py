@@ -26,7 +26,7 @@ TRAINING_ROWS, TRAINING_BYTES = 5000, 64 << 20
 TOXIC_TEXTS, OTHER_TEXTS = 600, 1500
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, ROUNDS = 80, 6, 3
 #: Candidate strings whose scores a Python worker keeps; beyond it they are scored anew.
-CACHE_SIZE = 1 << 20
+CACHE_SIZE = 1 << 19
 #: Digits and signs that stand in for letters.
 STANDINS = str.maketrans("013457@$", "oieastas")
 
@@ -362,7 +362,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", sco
     """Add ``score`` (0 to 1, under any name) to every row: the calibrated highest margin of its whole text's candidate strings.
 
     A narrow pass without shuffles; the model is some kilobytes. Scores of words are kept by a
-    Python worker, 1,048,576 at most. Null and empty texts score as texts without candidates. Repeated rows score
+    Python worker, 524,288 at most. Null and empty texts score as texts without candidates. Repeated rows score
     alike. Without a model every score is 0. A column of that name is replaced. An empty table gives an empty table.
     """
     keep = [c for c in docs.columns if c != score]
