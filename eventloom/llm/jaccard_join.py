@@ -38,7 +38,7 @@ COMBINED = 3
 #: Bits of the map that tells which rows a later scan needs: so many for each key, and in all.
 BITS_A_KEY, MOST_BITS = 16, 1 << 27
 #: Sets of one family that a task verifies against as many others, and tokens in them.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 21
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
 
 
 def limits(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:

@@ -240,3 +240,22 @@ def test_large_benchmarks_give_the_same(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(winnowing, "SET_SIZE", 0)
     assert found() == few and any(r[-1] for r in few)
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    from eventloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(draw.randint(0, 6)):
+            own[draw.randrange(len(own))] = f"v{draw.randint(0, 6)}"
+        rows.append((i, " ".join(own[: draw.randint(80, 90)])))
+    got = {r.doc_id: r for r in jaccard_join.ngram_components(make_docs(spark, rows), 3, "0.8").collect()}
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.near_components(rows, 3, "0.8")
+    sets = {d: frozenset(brute.shingles(t, 3)) for d, t in rows}
+    for d, s in sets.items():
+        assert got[d].links == len({x for x in sets.values() if x != s and 10 * len(s & x) >= 8 * len(s | x)})
